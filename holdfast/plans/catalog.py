@@ -1,4 +1,4 @@
 """Imports every query module so that the registry is filled."""
 
-from holdfast.plans import attack_queries, score_queries  # noqa: F401
+from holdfast.plans import attack_queries, score_queries, text_queries  # noqa: F401
 from holdfast.plans.registry import ORACLES, QUERIES  # noqa: F401
