@@ -19,6 +19,15 @@ def col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once per row.
+
+    A column used several times inside ``when`` branches is otherwise computed anew
+    in each of them, which matters for regex searches and JSON parsing.
+    """
+    return F.transform(F.array(value), use)[0]
+
+
 def strip(text: Column | str) -> Column:
     """Remove white space of any script at both ends."""
     return F.regexp_replace(col(text), _TRIM, "")

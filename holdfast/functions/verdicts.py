@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,36 +46,47 @@ def truthy(value: Column, field: str) -> Column:
     )
 
 
+def _bound(raw: Column | str, *parsed: Column, use: Callable[[Column], Column]) -> Column:
+    """Bind the text and its first parsable reading (``t`` and ``v``) for ``use``."""
+    return tx.bind(
+        F.struct(F.coalesce(col(raw), F.lit("")).alias("t"), F.coalesce(*parsed).alias("v")), use
+    )
+
+
 def task_verdict(raw: Column | str) -> Column:
     """``struct<reasoning, verdict, score>``: direct, fenced, embedded JSON, then keywords."""
-    raw = F.coalesce(col(raw), F.lit(""))
-    stages = [
-        _json(tx.strip(raw)),
-        _json(F.regexp_extract(raw, _FENCED, 1)),
-        _json(_embedded(raw, "verdict")),
-    ]
-    chain = None
-    for value in stages:
-        complete = _has(value, "score") & _has(value, "verdict")
-        found = F.struct(
-            F.coalesce(_get(value, "reasoning"), F.lit("")).alias("reasoning"),
-            _get(value, "verdict").alias("verdict"),
-            _get(value, "score", "int").alias("score"),
+    text = F.coalesce(col(raw), F.lit(""))
+
+    def complete(candidate: Column) -> Column:
+        return tx.bind(
+            _json(candidate), lambda v: F.when(_has(v, "score") & _has(v, "verdict"), v)
         )
-        chain = F.when(complete, found) if chain is None else chain.when(complete, found)
-    lowered = F.lower(raw)
-    says_pass, says_fail = lowered.contains("pass"), lowered.contains("fail")
 
-    def fallback(verdict: str, score: int) -> Column:
-        return F.struct(
-            raw.alias("reasoning"), F.lit(verdict).alias("verdict"), F.lit(score).alias("score")
+    def verdict(b: Column) -> Column:
+        lowered = F.lower(b["t"])
+        says_pass, says_fail = lowered.contains("pass"), lowered.contains("fail")
+
+        def fallback(name: str, score: int) -> Column:
+            return F.struct(
+                b["t"].alias("reasoning"), F.lit(name).alias("verdict"), F.lit(score).alias("score")
+            )
+
+        return (
+            F.when(
+                b["v"].isNotNull(),
+                F.struct(
+                    F.coalesce(_get(b["v"], "reasoning"), F.lit("")).alias("reasoning"),
+                    _get(b["v"], "verdict").alias("verdict"),
+                    _get(b["v"], "score", "int").alias("score"),
+                ),
+            )
+            .when(says_pass & ~says_fail, fallback("PASS", 1))
+            .when(says_fail, fallback("FAIL", 0))
+            .otherwise(fallback("PARSE_ERROR", 0))
         )
 
-    return (
-        chain.when(says_pass & ~says_fail, fallback("PASS", 1))
-        .when(says_fail, fallback("FAIL", 0))
-        .otherwise(fallback("PARSE_ERROR", 0))
-    )
+    stages = [tx.strip(text), F.regexp_extract(text, _FENCED, 1), _embedded(text, "verdict")]
+    return _bound(text, *[complete(s) for s in stages], use=verdict)
 
 
 def _reason(value: Column) -> Column:
@@ -82,32 +95,35 @@ def _reason(value: Column) -> Column:
 
 def rule_verdict(raw: Column | str) -> Column:
     """``struct<pass, detail>`` of one rule reply; null pass is pending or not applicable."""
-    raw = F.coalesce(col(raw), F.lit(""))
-    value = F.coalesce(_json(tx.strip(raw)), _json(_embedded(raw, "pass")))
-    reason = _reason(value)
-    applicable = ~_has(value, "applicable") | truthy(value, "applicable")
-    lowered = F.lower(raw)
-    says_true = lowered.contains('"pass": true') | lowered.contains('"pass":true')
-    says_false = lowered.contains('"pass": false') | lowered.contains('"pass":false')
+    text = F.coalesce(col(raw), F.lit(""))
     unknown = F.lit(None).cast("boolean")
 
     def verdict(passed: Column, detail: Column) -> Column:
         return F.struct(passed.alias("pass"), detail.alias("detail"))
 
-    def cut(head: str, text: Column, n: int) -> Column:
-        return F.concat(F.lit(head), F.left(text, F.lit(n)))
-
-    return (
-        F.when(raw == "", verdict(unknown, F.lit("empty judge response")))
-        .when(
-            _has(value, "pass"),
-            F.when(~applicable, verdict(unknown, cut("not applicable: ", reason, 80))).otherwise(
-                verdict(truthy(value, "pass"), F.left(reason, F.lit(100)))
-            ),
+    def cut(head: str, part: Column, n: int) -> Column:
+        return F.concat(F.lit(head), F.left(part, F.lit(n)))
+
+    def decide(b: Column) -> Column:
+        raw_text, value = b["t"], b["v"]
+        reason = _reason(value)
+        applicable = ~_has(value, "applicable") | truthy(value, "applicable")
+        lowered = F.lower(raw_text)
+        says_true = lowered.contains('"pass": true') | lowered.contains('"pass":true')
+        says_false = lowered.contains('"pass": false') | lowered.contains('"pass":false')
+        return (
+            F.when(raw_text == "", verdict(unknown, F.lit("empty judge response")))
+            .when(
+                _has(value, "pass"),
+                F.when(
+                    ~applicable, verdict(unknown, cut("not applicable: ", reason, 80))
+                ).otherwise(verdict(truthy(value, "pass"), F.left(reason, F.lit(100)))),
+            )
+            .when(says_true | says_false, verdict(says_true, cut("fallback_parse: ", raw_text, 80)))
+            .otherwise(verdict(unknown, cut("parse_error: ", raw_text, 100)))
         )
-        .when(says_true | says_false, verdict(says_true, cut("fallback_parse: ", raw, 80)))
-        .otherwise(verdict(unknown, cut("parse_error: ", raw, 100)))
-    )
+
+    return _bound(text, _json(tx.strip(text)), _json(_embedded(text, "pass")), use=decide)
 
 
 def coerced_bool(value: Column, field: str, default: bool) -> Column:
@@ -131,10 +147,12 @@ def coerced_bool(value: Column, field: str, default: bool) -> Column:
 
 def reply_object(raw: Column | str) -> Column:
     """The JSON object of a reply: fenced part first, whole text, outermost braces."""
-    raw = F.coalesce(col(raw), F.lit(""))
-    fenced = F.regexp_extract(raw, _FENCED, 1)
-    text = F.when(fenced != "", fenced).otherwise(tx.strip(raw))
-    return F.coalesce(_json(text), _json(F.regexp_extract(text, _OUTERMOST, 0)))
+    text = F.coalesce(col(raw), F.lit(""))
+    inner = tx.bind(
+        F.regexp_extract(text, _FENCED, 1),
+        lambda fenced: F.when(fenced != "", fenced).otherwise(tx.strip(text)),
+    )
+    return tx.bind(inner, lambda t: F.coalesce(_json(t), _json(F.regexp_extract(t, _OUTERMOST, 0))))
 
 
 def batch_verdicts(raw: Column | str) -> Column:
@@ -154,27 +172,31 @@ def batch_verdicts(raw: Column | str) -> Column:
 
 def column_verdict(raw: Column | str, target_rule: Column | str) -> Column:
     """Whole-response verdict; the non-target flag is recomputed from the failed list."""
-    raw, target = F.coalesce(col(raw), F.lit("")), col(target_rule)
+    target = col(target_rule)
+    stripped = tx.strip(F.coalesce(col(raw), F.lit("")))
     bare = F.regexp_replace(
-        F.regexp_replace(tx.strip(raw), rf"\A```(?:json)?[{fx.SPACE}]*", ""),
-        rf"[{fx.SPACE}]*```\z", "",
-    )
-    text = F.when(tx.strip(raw).startswith("```"), bare).otherwise(tx.strip(raw))
-    value = F.coalesce(_json(text), _json(F.regexp_extract(text, _OUTERMOST, 0)))
-    listed = F.try_variant_get(value, "$.failed_rules", "array<string>")
-    failed = F.filter(
-        F.transform(F.coalesce(listed, F.array().cast("array<string>")), lambda r: tx.strip(r)),
-        lambda r: F.coalesce(r != "", F.lit(False)),
-    )
-    return F.when(
-        value.isNotNull(),
-        F.struct(
-            truthy(value, "perfect_success").alias("perfect_success"),
-            F.exists(failed, lambda r: r != target).alias("non_target_failure"),
-            failed.alias("failed_rules"),
-            F.left(F.coalesce(_get(value, "reason"), F.lit("")), F.lit(120)).alias("reason"),
-        ),
+        F.regexp_replace(stripped, rf"\A```(?:json)?[{fx.SPACE}]*", ""), rf"[{fx.SPACE}]*```\z", ""
     )
+    text = F.when(stripped.startswith("```"), bare).otherwise(stripped)
+    parsed = tx.bind(text, lambda t: F.coalesce(_json(t), _json(F.regexp_extract(t, _OUTERMOST, 0))))
+
+    def verdict(value: Column) -> Column:
+        listed = F.try_variant_get(value, "$.failed_rules", "array<string>")
+        named = F.filter(
+            F.transform(F.coalesce(listed, F.array().cast("array<string>")), lambda r: tx.strip(r)),
+            lambda r: F.coalesce(r != "", F.lit(False)),
+        )
+        return tx.bind(
+            named,
+            lambda failed: F.struct(
+                truthy(value, "perfect_success").alias("perfect_success"),
+                F.exists(failed, lambda r: r != target).alias("non_target_failure"),
+                failed.alias("failed_rules"),
+                F.left(F.coalesce(_get(value, "reason"), F.lit("")), F.lit(120)).alias("reason"),
+            ),
+        )
+
+    return tx.bind(parsed, lambda value: F.when(value.isNotNull(), verdict(value)))
 
 
 def suggestion_note(failed: Column | str, reason: Column | str, label: str = "SUGGESTED") -> Column:

@@ -147,20 +147,35 @@ def _last_end(text: Column, mark: str) -> Column:
 
 
 def split_task_and_rules(prompt: Column | str) -> Column:
-    """``struct<task, rules>``: cut before the first format phrase, at a sentence end."""
-    text = tx.col(prompt)
+    """``struct<task, rules>``: cut before the first format phrase, at a sentence end.
+
+    The search runs over the whole text, so its result is bound once.
+    """
     signal = "(?i)" + "|".join(f"(?:{p})" for p in fx.FORMAT_SIGNALS)
-    found = F.regexp_instr(text, F.lit(signal))
-    before = F.left(text, found - 1)
-    sentence = F.greatest(*[_last_end(before, m) for m in (". ", ".\n", "?\n")])
-    cut = F.when(sentence > 0, sentence + 1).otherwise(found - 1)
-    return F.when(
-        found > 0,
-        F.struct(
-            tx.strip(F.left(text, cut)).alias("task"),
-            tx.strip(F.substring(text, cut + 1, F.length(text))).alias("rules"),
-        ),
-    ).otherwise(F.struct(text.alias("task"), F.lit("").alias("rules")))
+    text = tx.col(prompt)
+    found = F.struct(
+        text.alias("text"), F.regexp_instr(text, F.lit(signal)).alias("at")
+    )
+
+    def cut(bound: Column) -> Column:
+        before = F.left(bound["text"], bound["at"] - 1)
+        sentence = F.greatest(*[_last_end(before, m) for m in (". ", ".\n", "?\n")])
+        return F.struct(
+            bound["text"].alias("text"), bound["at"].alias("at"),
+            F.when(sentence > 0, sentence + 1).otherwise(bound["at"] - 1).alias("cut"),
+        )
+
+    def parts(bound: Column) -> Column:
+        whole, end = bound["text"], bound["cut"]
+        return F.when(
+            bound["at"] > 0,
+            F.struct(
+                tx.strip(F.left(whole, end)).alias("task"),
+                tx.strip(F.substring(whole, end + 1, F.length(whole))).alias("rules"),
+            ),
+        ).otherwise(F.struct(whole.alias("task"), F.lit("").alias("rules")))
+
+    return tx.bind(tx.bind(found, cut), parts)
 
 
 def format_prompt(rules: Column | str, constraints: Column | str) -> Column:
