@@ -1,4 +1,6 @@
 """Imports every query module so that the registry is filled."""
 
-from holdfast.plans import attack_queries, review_queries, score_queries, text_queries  # noqa: F401
+from holdfast.plans import (  # noqa: F401
+    attack_queries, design_queries, review_queries, score_queries, text_queries,
+)
 from holdfast.plans.registry import ORACLES, QUERIES  # noqa: F401
