@@ -290,9 +290,13 @@ def conversation_columns(conv: Column) -> dict[str, Column]:
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Assistant rows with their record's attributes; attacks on every second turn."""
+    return responses_from(table(spark, sf_dir, "conversations"))
+
+
+def responses_from(messages: DataFrame) -> DataFrame:
+    """The same for any table or stream of messages."""
     conv = F.col("conv_id")
-    rows = table(spark, sf_dir, "conversations").filter(F.col("role") == "assistant")
-    rows = rows.select(
+    rows = messages.filter(F.col("role") == "assistant").select(
         "conv_id", "turn", F.col("text").alias("response")
     ).withColumns(conversation_columns(conv))
     attacked = (conv % 2 == 1) & (F.floor(F.col("turn") / 2) % 2 == 1)
