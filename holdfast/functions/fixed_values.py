@@ -6,6 +6,11 @@ SPACE = (
     r"\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}"
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 )
+# The same characters one by one, for trimming.
+SPACE_CHARS = "".join(
+    map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+              0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+)
 TOKEN_PATTERN = rf"[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_{SPACE}]"
 ENGLISH_SHARE = 0.7
 USER_ROLES = ["human", "user"]

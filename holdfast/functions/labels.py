@@ -10,9 +10,10 @@ from holdfast.functions.text import col, strip
 
 
 def _aliased(value: Column, aliases: dict[str, str]) -> Column:
+    """Old names replaced; ``value`` is used once, so nothing is computed twice."""
     out = value
     for old, new in aliases.items():
-        out = F.when(value == old, F.lit(new)).otherwise(out)
+        out = F.regexp_replace(out, f"^{old}$", new)
     return out
 
 

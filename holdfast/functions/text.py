@@ -11,10 +11,6 @@ from holdfast.functions import fixed_values as fx
 
 TokenCounter = Callable[[Column], Column]
 
-_TRIM = rf"^[{fx.SPACE}]+|[{fx.SPACE}]+\z"
-_LEFT_TRIM = rf"^[{fx.SPACE}]+"
-
-
 def col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
@@ -30,11 +26,11 @@ def bind(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def strip(text: Column | str) -> Column:
     """Remove white space of any script at both ends."""
-    return F.regexp_replace(col(text), _TRIM, "")
+    return F.btrim(col(text), F.lit(fx.SPACE_CHARS))
 
 
 def lstrip(text: Column | str) -> Column:
-    return F.regexp_replace(col(text), _LEFT_TRIM, "")
+    return F.ltrim(col(text), F.lit(fx.SPACE_CHARS))
 
 
 def is_blank(text: Column | str) -> Column:
@@ -46,12 +42,18 @@ def matches(text: Column | str, pattern: str) -> Column:
     return F.regexp_count(col(text), F.lit(pattern))
 
 
-def word_count(text: Column | str) -> Column:
-    return matches(text, rf"[^{fx.SPACE}]+")
+def words(text: Column | str) -> Column:
+    """Words between white space of any script.
 
+    All white space becomes a plain space first: splitting at one character is several
+    times faster than a regex class of thirty.
+    """
+    spaced = F.translate(col(text), fx.SPACE_CHARS, " " * len(fx.SPACE_CHARS))
+    return F.array_remove(F.split(spaced, " "), "")
 
-def words(text: Column | str) -> Column:
-    return F.filter(F.split(col(text), rf"[{fx.SPACE}]+"), lambda w: w != "")
+
+def word_count(text: Column | str) -> Column:
+    return F.size(words(text))
 
 
 def token_count(text: Column | str) -> Column:

@@ -31,31 +31,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _nth(values: list, index: Column) -> Column:
+    """values[index] for an index from 0."""
     return F.element_at(F.array(*[F.lit(v) for v in values]), index.cast("int") + 1)
 
 
+def _bits(key: Column, shift: int, width: int) -> Column:
+    return F.shiftright(key, shift).bitwiseAND((1 << width) - 1)
+
+
+def _group(key: Column) -> Column:
+    return F.shiftleft(F.shiftright(key, 6), 4) + key.bitwiseAND(15)
+
+
+def _turn_count(key: Column) -> Column:
+    return (_bits(key, 2, 2) * 2 + 1).cast("int")
+
+
+ORDER_NAMES = [
+    "none", "none", "none", "none", "single_implicit", "single_adversarial",
+    "implicit_then_adversarial", "adversarial_then_implicit",
+]
+
+
 def record_columns(key: Column) -> dict[str, Column]:
-    """Attributes of the run record with this number."""
-    group = F.floor(key / 64) * 16 + key % 16
-    adversarial = F.floor(key / 16) % 2 == 1
-    flipped = F.floor(key / 32) % 2 == 1
-    single = F.floor(key / 4) % 4 == 0
-    target = group % 7
+    """Attributes of the run record with this number, all by bit arithmetic."""
+    adversarial, flipped = _bits(key, 4, 1), _bits(key, 5, 1)
+    several = F.least(_bits(key, 2, 2), F.lit(1))
+    target = _group(key) % 7
     return {
         "case_id": key,
         "rep": (key % 3).cast("int"),
         "model": F.concat(F.lit("m"), (key % 4).cast("string")),
         "temperature": F.when(key % 5 == 0, F.lit(0.7)).otherwise(F.lit(0.0)),
-        "rule_count": (1 + 2 * (key % 4)).cast("int"),
-        "turn_count": (1 + 2 * (F.floor(key / 4) % 4)).cast("int"),
-        "attack_intensity": F.when(adversarial, F.lit("adversarial")).otherwise(F.lit("benign")),
-        "condition": F.when(adversarial, F.lit("injection_context")).otherwise(F.lit("benign_context")),
-        "attack_order_variant": F.when(~adversarial, F.lit("none"))
-        .when(single & ~flipped, F.lit("single_implicit"))
-        .when(single, F.lit("single_adversarial"))
-        .when(~flipped, F.lit("implicit_then_adversarial"))
-        .otherwise(F.lit("adversarial_then_implicit")),
-        "order_average_group_id": F.when(adversarial, F.concat(F.lit("g"), group.cast("string"))),
+        "rule_count": (key.bitwiseAND(3) * 2 + 1).cast("int"),
+        "turn_count": _turn_count(key),
+        "attack_intensity": _nth(["benign", "adversarial"], adversarial),
+        "condition": _nth(["benign_context", "injection_context"], adversarial),
+        "attack_order_variant": _nth(ORDER_NAMES, adversarial * 4 + several * 2 + flipped),
+        "order_average_group_id": F.when(
+            adversarial == 1, F.concat(F.lit("g"), _group(key).cast("string"))
+        ),
         "target_rule_id": _nth(RULE_IDS, target),
         "target_rule_category": _nth(list(RULE_TYPES.values()), target),
     }
@@ -80,34 +95,30 @@ CASE WHEN ({k} // 16) % 2 = 1 THEN 'g' || (({k} // 64) * 16 + {k} % 16) END AS o
 """
 
 
+def _attack_slot(key: Column, turn: Column) -> Column:
+    """0 benign turn, 1 implicit, 2 adversarial: the last two turns of an attacked record."""
+    left = _turn_count(key) - turn
+    second = ((left == 0) & (_bits(key, 2, 2) > 0)).cast("long")
+    kind = (_bits(key, 5, 1) + second).bitwiseAND(1) + 1
+    return F.when((_bits(key, 4, 1) == 1) & (left <= 1), kind).otherwise(0)
+
+
 def turn_mode(key: Column, turn: Column) -> Column:
     """Raw attack mode of a turn; every third record uses the older spelling."""
-    attacked = F.col("attack_intensity") == "adversarial"
-    flipped = F.floor(key / 32) % 2 == 1
-    strong = F.when(key % 3 == 0, F.lit("strong_pressure")).otherwise(F.lit("adversarial_attack"))
-    weak = F.lit("implicit_attack")
-    last = turn == F.col("turn_count")
-    first = turn == F.col("turn_count") - 1
-    single = F.col("turn_count") == 1
-    return (
-        F.when(~attacked, F.lit("benign"))
-        .when(single, F.when(flipped, strong).otherwise(weak))
-        .when(first, F.when(flipped, strong).otherwise(weak))
-        .when(last, F.when(flipped, weak).otherwise(strong))
-        .otherwise(F.lit("benign"))
+    old_name = ((_attack_slot(key, turn) == 2) & (key % 3 == 0)).cast("long")
+    return _nth(
+        ["benign", "implicit_attack", "adversarial_attack", "strong_pressure"],
+        _attack_slot(key, turn) + old_name,
     )
 
 
-def turn_targets(key: Column) -> Column:
+def turn_targets(key: Column, turn: Column) -> Column:
     """Targets of an attack turn (every tenth record has two), else an empty list."""
-    group = F.floor(key / 64) * 16 + key % 16
-    second = _nth(RULE_IDS, (group + 1) % 7)
-    empty = F.array().cast("array<string>")
-    return (
-        F.when(F.col("attack_mode") == "benign", empty)
-        .when(key % 10 == 0, F.array(F.col("target_rule_id"), second))
-        .otherwise(F.array(F.col("target_rule_id")))
-    )
+    first = _nth(RULE_IDS, _group(key) % 7)
+    second = F.when(key % 10 == 0, _nth(RULE_IDS, (_group(key) + 1) % 7))
+    return F.when(
+        _attack_slot(key, turn) > 0, F.array_compact(F.array(first, second))
+    ).otherwise(F.array().cast("array<string>"))
 
 
 def score_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,7 +128,7 @@ def score_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     rule = F.col("l_suppkey") % 7
     rows = rows.withColumns(
         {
-            "turn": (1 + (F.col("l_linenumber") - 1) % F.col("turn_count")).cast("int"),
+            "turn": (1 + (F.col("l_linenumber") - 1) % _turn_count(key)).cast("int"),
             "rule_id": _nth(RULE_IDS, rule),
             "rule_type": _nth(list(RULE_TYPES.values()), rule),
             "pass": F.when(F.col("l_returnflag") == "A", F.lit(True)).when(
@@ -138,7 +149,7 @@ def score_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
             .when(F.col("l_partkey") % 2 == 0, F.lit("not applicable: no trigger"))
             .otherwise(F.lit("pending: rule")),
         }
-    ).withColumn("attack_targets", turn_targets(key))
+    ).withColumn("attack_targets", turn_targets(key, F.col("turn")))
     return ce.with_target_flags(rows)
 
 
