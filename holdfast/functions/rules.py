@@ -22,18 +22,22 @@ RULE_TYPE = (
 )
 RULE_FIELDS = [p.split(":") for p in RULE_TYPE[len("struct<") : -1].split(",")]
 
-# (passed, method, detail) of one response under one rule
-Outcome = tuple[Column, Column, Column]
-Scorer = Callable[[Column, Mapping[str, Column]], Outcome]
+# (response, rule fields) -> struct<pass, method, detail>, see ``outcome``
+Scorer = Callable[[Column, Mapping[str, Column]], Column]
+
+
+def outcome(passed: Column, method: str, detail: Column) -> Column:
+    return F.struct(
+        passed.cast("boolean").alias("pass"), F.lit(method).alias("method"), detail.alias("detail")
+    )
 
 
 def _null_bool() -> Column:
     return F.lit(None).cast("boolean")
 
 
-def char_count(r: Column, rule: Mapping[str, Column]) -> Outcome:
-    n = F.length(r)
-    top, low = rule["max_chars"], rule["min_chars"]
+def char_count(r: Column, rule: Mapping[str, Column]) -> Column:
+    n, top, low = F.length(r), rule["max_chars"], rule["min_chars"]
     passed = (
         F.when(top.isNotNull(), n <= top).when(low.isNotNull(), n >= low).otherwise(F.lit(True))
     )
@@ -42,77 +46,90 @@ def char_count(r: Column, rule: Mapping[str, Column]) -> Outcome:
         .when(low.isNotNull(), F.format_string("%d chars (min %d)", n, low))
         .otherwise(F.format_string("%d chars (no constraint)", n))
     )
-    return passed, F.lit("auto_char_count"), detail
+    return outcome(passed, "auto_char_count", detail)
 
 
-def pattern(r: Column, rule: Mapping[str, Column]) -> Outcome:
+def pattern(r: Column, rule: Mapping[str, Column]) -> Column:
     expression = F.coalesce(rule["pattern"], F.lit(""))
     negate = F.coalesce(rule["negate"], F.lit(False))
-    match = F.regexp_like(r, expression)
-    detail = F.concat(
-        F.lit("pattern='"), expression, F.lit("', match="), F.initcap(match.cast("string")),
-        F.lit(", negate="), F.initcap(negate.cast("string")),
-    )
-    return match != negate, F.lit("auto_regex"), detail
 
+    def judge(match: Column) -> Column:
+        detail = F.concat(
+            F.lit("pattern='"), expression, F.lit("', match="), F.initcap(match.cast("string")),
+            F.lit(", negate="), F.initcap(negate.cast("string")),
+        )
+        return outcome(match != negate, "auto_regex", detail)
 
-def prefix(r: Column, rule: Mapping[str, Column]) -> Outcome:
+    return tx.bind(F.regexp_like(r, expression), judge)
+
+
+def prefix(r: Column, rule: Mapping[str, Column]) -> Column:
     wanted = F.coalesce(rule["prefix"], F.lit(""))
     passed = F.startswith(tx.strip(r), wanted)
     detail = F.concat(
         F.lit("starts with '"), wanted, F.lit("': "), F.initcap(passed.cast("string"))
     )
-    return passed, F.lit("auto_regex"), detail
+    return outcome(passed, "auto_regex", detail)
 
 
 _SENTENCE_END = rf"(?:[.!?]?[{fx.SPACE}]*\z|[{fx.SPACE}])"
 
 
-def honorific(r: Column, rule: Mapping[str, Column]) -> Outcome:
-    formal = tx.matches(r, f"(?:{fx.HONORIFIC_ENDINGS}){_SENTENCE_END}")
-    informal = tx.matches(r, f"(?:{fx.INFORMAL_ENDINGS}){_SENTENCE_END}")
-    total = formal + informal
+def honorific(r: Column, rule: Mapping[str, Column]) -> Column:
+    counts = F.struct(
+        tx.matches(r, f"(?:{fx.HONORIFIC_ENDINGS}){_SENTENCE_END}").alias("formal"),
+        tx.matches(r, f"(?:{fx.INFORMAL_ENDINGS}){_SENTENCE_END}").alias("informal"),
+    )
     expect = F.coalesce(rule["expect_honorific"], F.lit(True))
-    wanted = F.when(expect, formal).otherwise(informal)
-    share = F.try_divide(wanted, total)
-    detail = F.when(total == 0, F.lit("no Korean sentence endings detected")).otherwise(
-        F.concat(
-            F.when(expect, F.lit("honorific ")).otherwise(F.lit("informal ")),
-            F.format_string("%d/%d (%.0f%%)", wanted, total, share * 100),
+
+    def judge(c: Column) -> Column:
+        total = c["formal"] + c["informal"]
+        wanted = F.when(expect, c["formal"]).otherwise(c["informal"])
+        share = F.try_divide(wanted, total)
+        detail = F.when(total == 0, F.lit("no Korean sentence endings detected")).otherwise(
+            F.concat(
+                F.when(expect, F.lit("honorific ")).otherwise(F.lit("informal ")),
+                F.format_string("%d/%d (%.0f%%)", wanted, total, share * 100),
+            )
         )
-    )
-    return F.coalesce(share >= fx.HONORIFIC_SHARE, F.lit(True)), F.lit("auto_regex"), detail
+        return outcome(F.coalesce(share >= fx.HONORIFIC_SHARE, F.lit(True)), "auto_regex", detail)
+
+    return tx.bind(counts, judge)
 
 
 def detected_language(r: Column) -> Column:
     """ko / en / unknown by the share of Hangul among letters."""
-    letters = tx.matches(r, fx.HANGUL_OR_LATIN)
-    hangul = tx.matches(r, fx.HANGUL_DETECT)
-    share = F.try_divide(hangul, letters)
-    return (
-        F.when(letters == 0, F.lit("unknown"))
-        .when(share > fx.HANGUL_SHARE, F.lit("ko"))
-        .otherwise(F.lit("en"))
+    counts = F.struct(
+        tx.matches(r, fx.HANGUL_OR_LATIN).alias("letters"), tx.matches(r, fx.HANGUL_DETECT).alias("hangul")
+    )
+    return tx.bind(
+        counts,
+        lambda c: F.when(c["letters"] == 0, F.lit("unknown"))
+        .when(F.try_divide(c["hangul"], c["letters"]) > fx.HANGUL_SHARE, F.lit("ko"))
+        .otherwise(F.lit("en")),
     )
 
 
-def language(r: Column, rule: Mapping[str, Column]) -> Outcome:
+def language(r: Column, rule: Mapping[str, Column]) -> Column:
     expected = F.coalesce(rule["expected_lang"], F.lit("ko"))
-    found = detected_language(r)
-    detail = F.concat(F.lit("heuristic: "), found, F.lit(" detected, expected "), expected)
-    return found == expected, F.lit("auto_lang_detect"), detail
+
+    def judge(found: Column) -> Column:
+        detail = F.concat(F.lit("heuristic: "), found, F.lit(" detected, expected "), expected)
+        return outcome(found == expected, "auto_lang_detect", detail)
+
+    return tx.bind(detected_language(r), judge)
 
 
 def _pending(method: str, head: str) -> Scorer:
-    def waiting(r: Column, rule: Mapping[str, Column]) -> Outcome:
+    def waiting(r: Column, rule: Mapping[str, Column]) -> Column:
         start = F.left(F.coalesce(rule["text"], F.lit("")), F.lit(50))
-        return _null_bool(), F.lit(method), F.concat(F.lit(f"{head}: '"), start, F.lit("...'"))
+        return outcome(_null_bool(), method, F.concat(F.lit(f"{head}: '"), start, F.lit("...'")))
 
     return waiting
 
 
-def not_applicable(r: Column, rule: Mapping[str, Column]) -> Outcome:
-    return _null_bool(), F.lit("not_applicable"), F.lit("rule trigger condition not met")
+def not_applicable(r: Column, rule: Mapping[str, Column]) -> Column:
+    return outcome(_null_bool(), "not_applicable", F.lit("rule trigger condition not met"))
 
 
 _SCORERS: dict[str, Scorer] = {
@@ -128,33 +145,44 @@ _SCORERS: dict[str, Scorer] = {
 
 
 def register_rule_scorer(name: str, scorer: Scorer) -> None:
-    """Add or replace a scorer: ``(response, rule fields) -> (pass, method, detail)``."""
+    """Add or replace a scorer: ``(response, rule fields) -> outcome(...)``."""
     _SCORERS[name] = scorer
 
 
-def _cell(rule_id: Column, passed: Column, method: Column, detail: Column) -> Column:
+def _cell(rule_id: Column, scored: Column) -> Column:
+    return tx.bind(
+        scored,
+        lambda s: F.struct(
+            rule_id.alias("rule_id"), s["pass"].alias("pass"), s["method"].alias("method"),
+            s["detail"].alias("detail"),
+        ),
+    )
+
+
+def _unknown_method(scoring: Column) -> Column:
     return F.struct(
-        rule_id.alias("rule_id"),
-        passed.cast("boolean").alias("pass"),
-        method.alias("method"),
-        detail.alias("detail"),
+        _null_bool().alias("pass"), scoring.alias("method"), F.lit("unknown scoring method").alias("detail")
     )
 
 
-def rule_cell(response: Column | str, rule: Column | str) -> Column:
-    """One score cell for a rule held in a struct column."""
-    response, rule = tx.col(response), tx.col(rule)
-    fields = {name: rule[name] for name, _ in RULE_FIELDS}
+def rule_outcome(response: Column | str, fields: Mapping[str, Column]) -> Column:
+    """Outcome under a rule whose scoring method is itself a column."""
+    response = tx.col(response)
     scoring = F.coalesce(fields["scoring"], F.lit("llm_judge"))
-    unknown = _cell(
-        F.coalesce(fields["rule_id"], F.lit("unknown")), _null_bool(), scoring,
-        F.lit("unknown scoring method"),
-    )
     chain = None
     for name, scorer in _SCORERS.items():
-        cell = _cell(fields["rule_id"], *scorer(response, fields))
-        chain = F.when(scoring == name, cell) if chain is None else chain.when(scoring == name, cell)
-    return chain.otherwise(unknown)
+        scored = scorer(response, fields)
+        chain = F.when(scoring == name, scored) if chain is None else chain.when(scoring == name, scored)
+    return chain.otherwise(_unknown_method(scoring))
+
+
+def static_outcome(response: Column | str, rule: Mapping[str, object]) -> Column:
+    """Outcome under a rule known to the driver."""
+    name = rule.get("scoring") or "llm_judge"
+    scorer = _SCORERS.get(name)
+    if scorer is None:
+        return _unknown_method(F.lit(name))
+    return scorer(tx.col(response), rule_literal(rule))
 
 
 def rule_literal(rule: Mapping[str, object]) -> dict[str, Column]:
@@ -172,8 +200,9 @@ def score_cells(responses: DataFrame, response: str = "response", rules: str = "
     """responses x their own rules -> cells; ``score_index`` is the rule's position."""
     keep = [c for c in responses.columns if c not in (response, rules)]
     exploded = responses.select(*keep, response, F.posexplode(rules).alias("score_index", "_rule"))
-    return exploded.withColumn("_cell", rule_cell(response, "_rule")).select(
-        *keep, "score_index", "_cell.*"
+    fields = {name: F.col(f"_rule.{name}") for name, _ in RULE_FIELDS}
+    return exploded.withColumn("_scored", rule_outcome(response, fields)).select(
+        *keep, "score_index", F.coalesce("_rule.rule_id", F.lit("unknown")).alias("rule_id"), "_scored.*"
     )
 
 
@@ -188,17 +217,9 @@ def score_cells_static(
     keep = [c for c in responses.columns if c != response]
     cells = []
     for i, rule in enumerate(rules):
-        fields = rule_literal(rule)
-        scorer = _SCORERS.get(rule.get("scoring", "llm_judge"))
-        if scorer is None:
-            outcome = (
-                _null_bool(), F.lit(rule.get("scoring")), F.lit("unknown scoring method"),
-            )
-        else:
-            outcome = scorer(F.col(response), fields)
+        rule_id = F.lit(rule.get("rule_id") or "unknown")
         cell = F.struct(
-            F.lit(i).alias("score_index"),
-            _cell(fields["rule_id"], *outcome).alias("cell"),
+            F.lit(i).alias("score_index"), _cell(rule_id, static_outcome(response, rule)).alias("cell")
         )
         cells.append(cell if active is None else F.when(active(i), cell))
     listed = F.array(*cells) if active is None else F.array_compact(F.array(*cells))

@@ -93,11 +93,11 @@ def prep_counters(spark, sf):
     FROM documents""",
 )
 def document_token_counts(spark, sf):
-    return tb.table(spark, sf, "documents").select(
+    rows = tb.table(spark, sf, "documents").select(
         "doc_id", tx.token_count("text").cast("long").alias("tokens"),
-        tx.word_count("text").cast("long").alias("words"),
-        tx.in_token_range("text", 100, 400).alias("in_range"), tx.is_english("text").alias("english"),
+        tx.word_count("text").cast("long").alias("words"), tx.is_english("text").alias("english"),
     )
+    return rows.withColumn("in_range", F.col("tokens").between(100, 400))
 
 
 @query(
@@ -541,9 +541,8 @@ def response_turn_metrics_nested(spark, sf):
     """Metrics by array functions while the cells of a response are still together."""
     cells = []
     for i, rule in enumerate(tb.TEXT_RULES):
-        fields = rl.rule_literal(rule)
-        passed = rl._SCORERS[rule["scoring"]](F.col("response"), fields)[0]
-        cell = F.struct(F.lit(rule["rule_id"]).alias("rule_id"), passed.cast("boolean").alias("pass"))
+        passed = rl.static_outcome("response", rule)["pass"]
+        cell = F.struct(F.lit(rule["rule_id"]).alias("rule_id"), passed.alias("pass"))
         cells.append(F.when(tb.rule_is_active(i), cell))
     rows = tb.responses(spark, sf).withColumn("scores", F.array_compact(F.array(*cells)))
     return rounded(ce.turn_metrics_nested(rows).select("case_id", "turn", *fx.METRICS))
@@ -697,8 +696,8 @@ END_SQL = rf"(?:[.!?]?[{S}]*\z|[{S}])"
       coalesce(informal / nullif(formal + informal, 0) >= 0.7, TRUE) AS informal FROM c""",
 )
 def korean_text_checks(spark, sf):
-    formal = rl.honorific(F.col("r"), rl.rule_literal({"expect_honorific": True}))[0]
-    informal = rl.honorific(F.col("r"), rl.rule_literal({"expect_honorific": False}))[0]
+    formal = rl.honorific(F.col("r"), rl.rule_literal({"expect_honorific": True}))["pass"]
+    informal = rl.honorific(F.col("r"), rl.rule_literal({"expect_honorific": False}))["pass"]
     return korean_documents(spark, sf).select(
         "doc_id", tx.korean_main("r").alias("korean_main"), rl.detected_language(F.col("r")).alias("language"),
         formal.alias("honorific"), informal.alias("informal"),
