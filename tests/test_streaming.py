@@ -1,4 +1,6 @@
 import json
+import os
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -19,7 +21,10 @@ class Feed:
     def send(self, rows):
         names = ["case_id", "rule_id", "turn", "failed", "ts"]
         text = "\n".join(json.dumps(dict(zip(names, r))) for r in rows)
-        (self.path / f"{self.n:03d}.json").write_text(text)
+        file = self.path / f"{self.n:03d}.json"
+        file.write_text(text)
+        # The file source reads in order of modification time, to the second.
+        os.utime(file, (1_700_000_000 + self.n * 10,) * 2)
         self.n += 1
 
     def stream(self):
@@ -76,17 +81,15 @@ def test_last_verdict_wins_across_batches_and_compaction(spark, feed, tmp_path):
 def test_late_rows_beyond_the_watermark_are_dropped_and_counted(spark, feed, tmp_path):
     feed.send([("a", "R1", 1, True, "2026-01-01T00:10:00"), ("a", "R1", 2, False, "2026-01-01T00:20:00")])
     feed.send([("a", "R1", 3, False, "2026-01-01T05:00:00")])
-    feed.send([("a", "R1", 4, True, "2026-01-01T00:30:00"), ("a", "R1", 5, True, "2026-01-01T09:00:00")])
+    feed.send([("a", "R1", 4, True, "2026-01-01T05:30:00")])
+    feed.send([("a", "R1", 5, True, "2026-01-01T00:30:00"), ("a", "R1", 6, True, "2026-01-01T09:00:00")])
     rates = jobs.windowed_failure_rates(feed.stream(), ["rule_id"], "ts", "1 hour", length="1 hour")
     query = jobs.run_available(rates, f"{tmp_path}/out", f"{tmp_path}/log")
     got = {r.window_start.hour: (r.failed, r.total, r.failure_rate) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
-    assert got == {0: (1, 2, 0.5), 5: (0, 1, 0.0)}
+    assert got == {0: (1, 2, 0.5), 5: (1, 2, 0.5)}
     assert jobs.dropped_late_rows(query) == 1
 
 
-def test_work_folder_uses_the_cluster_setting(spark, tmp_path):
-    spark.conf.set("spark.checkpoint.dir", f"{tmp_path}/shared/")
-    try:
-        assert jobs.work_folder(spark, "x").startswith(f"{tmp_path}/shared/x-")
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+def test_work_folder_uses_the_cluster_setting():
+    conf = SimpleNamespace(get=lambda key, default: "/shared/" if key == "spark.checkpoint.dir" else default)
+    assert jobs.work_folder(SimpleNamespace(conf=conf), "x").startswith("/shared/x-")
