@@ -327,4 +327,7 @@ def components(docs: DataFrame, rules: NearRules = NearRules()) -> DataFrame:
 def keep_one(docs: DataFrame, rules: NearRules = NearRules()) -> DataFrame:
     """The documents with the smallest doc_id of their component, with their own columns."""
     gone = components(docs, rules).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    packed = docs.select(
+        F.col("doc_id").cast("long").alias("_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_d"))
+    kept = packed.join(gone, F.col("_id") == F.col("_gone"), "left_anti")
+    return kept.select(*[F.col(f"_d.`{c}`") for c in docs.columns])
