@@ -25,6 +25,7 @@ import base64
 import json
 import re
 import zlib
+from array import array
 from collections import deque
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from holdfast.llm.chunks import ChunkTable, slices
+from holdfast.llm.chunks import MAX_KEPT, MAX_KEPT_CHARS, chunked
 from holdfast.llm.token_counts import PATTERN
 
 SCHEMA = (
@@ -50,10 +51,24 @@ class PackRules:
     size: int = 1024
     grid: int = 16
     sentence_penalty: float = 1.0
-    inside_penalty: float = 8.0
+    inside_penalty: float = 16.0
     block_tokens: int = 1 << 20
 
 
+class _ChunkIds(dict):
+    """Ids of chunks as bytes, made when first met; full, it goes on without keeping more."""
+
+    def __init__(self, work: Callable[[str], bytes]):
+        super().__init__()
+        self.work = work
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.work(chunk)
+        if len(self) < MAX_KEPT and len(chunk) <= MAX_KEPT_CHARS:
+            self[chunk] = ids
+        return ids
+
+
 class Encoder:
     """Ids of byte-level BPE from a rank file; ``json_path`` gives the special strings."""
 
@@ -66,24 +81,25 @@ class Encoder:
             self.special = {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
         self.split = re.compile("(" + "|".join(map(re.escape, self.special)) + ")").split
         own = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.table = ChunkTable(lambda cs: (np.array(own.encode_ordinary(c), np.uint16).tobytes() for c in cs))
+        self.first = _ChunkIds(lambda c: array("H", own.encode_ordinary(c)).tobytes())
+        self.led = _ChunkIds(lambda c: array("H", own.encode_ordinary(" " + c)).tobytes())
         # Tokens after which a sentence may end.
         self.stops = np.zeros(1 << 16, dtype=bool)
         for token, rank in ranks.items():
             self.stops[rank] = token.rstrip(b"\"')").endswith((b".", b"!", b"?", b"\n"))
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if not any(s in t for t in texts for s in self.special):
-            return [np.frombuffer(b"".join(r), np.uint16) for r in self.table.results(texts)]
-        out = []
-        for t in texts:
-            parts = self.split(t)
-            plain = self.table.results(parts[::2])
-            ids = [np.frombuffer(b"".join(r), np.uint16) for r in plain]
-            marks = [np.array([self.special[m]], np.uint16) for m in parts[1::2]]
-            mixed = [x for pair in zip(ids, [*marks, ids[0][:0]], strict=True) for x in pair]
-            out.append(np.concatenate(mixed))
-        return out
+    def _plain(self, text: str) -> np.ndarray:
+        parts = chunked(text)
+        head = self.first[parts[0]]
+        del parts[0]
+        return np.frombuffer(head + b"".join(map(self.led.__getitem__, parts)), np.uint16)
+
+    def encode(self, text: str) -> np.ndarray:
+        if not any(s in text for s in self.special):
+            return self._plain(text)
+        parts = self.split(text)
+        ids = [self._plain(t) if i % 2 == 0 else np.array([self.special[t]], np.uint16) for i, t in enumerate(parts)]
+        return np.concatenate(ids)
 
 
 def best_cuts(cuts: list[int], penalties: list[float], size: int) -> tuple[list[float], list[int]]:
@@ -206,13 +222,10 @@ def pack(docs: DataFrame, encoder: Callable[[], Encoder], rules: PackRules = Pac
         enc = encoder()
         packer = Packer(enc.stops, rules, TaskContext.get().partitionId() << 36)
         for batch in batches:
-            doc_ids, texts, at = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), 0
-            for part in slices(texts):
-                for ids in enc.encode(part):
-                    packer.add(doc_ids[at], ids)
-                    at += 1
-                    while packer.full():
-                        yield batch_of(packer.pack(last=False))
+            for doc_id, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
+                packer.add(doc_id.as_py(), enc.encode(text.as_py() or ""))
+                while packer.full():
+                    yield batch_of(packer.pack(last=False))
         if pieces := packer.pack(last=True):
             yield batch_of(pieces)
 
