@@ -137,7 +137,8 @@ def parse(source: str) -> Page:
         if tag in SPACE_TAGS:
             parts.append(" ")
             continue
-        name, words, role = _attributes(raw) if raw and not closing else ("", [], "")
+        # Classes of html and body change from page to page and say nothing about the place.
+        name, words, role = _attributes(raw) if raw and not closing and tag not in ("html", "body") else ("", [], "")
         block = tag in BLOCK_TAGS
         if closing:
             if block or any(page.tags[i] == tag for i in stack[1:]):
