@@ -42,7 +42,7 @@ def no_comma(r: Column, kw: Column) -> Column:
 
 def highlighted_sections(r: Column, kw: Column) -> Column:
     bold = tx.matches(r, r"\*\*[^*]+\*\*")
-    headings = tx.matches(r, rf"(?m)^#{{1,6}}[{fx.SPACE}]+[^\n]+$")
+    headings = tx.matches(r, rf"(?md)^#{{1,6}}[{fx.SPACE}]+[^\n]+$")
     return _unless_given(kw["num_highlights"], bold + headings == kw["num_highlights"])
 
 
@@ -65,7 +65,7 @@ def paragraph_total(r: Column, kw: Column) -> Column:
 
 
 def bullet_total(r: Column, kw: Column) -> Column:
-    bullets = tx.matches(r, rf"(?m)^[{fx.SPACE}]*[-*•][{fx.SPACE}]+")
+    bullets = tx.matches(r, rf"(?md)^[{fx.SPACE}]*[-*•][{fx.SPACE}]+")
     return _unless_given(kw["num_bullets"], bullets == kw["num_bullets"])
 
 

@@ -60,7 +60,8 @@ def pattern(r: Column, rule: Mapping[str, Column]) -> Column:
         )
         return outcome(match != negate, "auto_regex", detail)
 
-    return tx.bind(F.regexp_like(r, expression), judge)
+    # Only the newline ends a line for ``$`` and ``^``.
+    return tx.bind(F.regexp_like(r, F.concat(F.lit("(?d)"), expression)), judge)
 
 
 def prefix(r: Column, rule: Mapping[str, Column]) -> Column:
@@ -89,7 +90,7 @@ def honorific(r: Column, rule: Mapping[str, Column]) -> Column:
         detail = F.when(total == 0, F.lit("no Korean sentence endings detected")).otherwise(
             F.concat(
                 F.when(expect, F.lit("honorific ")).otherwise(F.lit("informal ")),
-                F.format_string("%d/%d (%.0f%%)", wanted, total, share * 100),
+                F.format_string("%d/%d (%.0f%%)", wanted, total, F.bround(share * 100, 0)),
             )
         )
         return outcome(F.coalesce(share >= fx.HONORIFIC_SHARE, F.lit(True)), "auto_regex", detail)

@@ -144,11 +144,17 @@ def korean_main(text: Column | str) -> Column:
 
 def render_template(template: Column | str, params: Column | str) -> Column:
     """Fill ``{name}`` marks from a map; if one stays open the template is kept."""
-    template, params = col(template), col(params)
-    filled = F.aggregate(
-        F.map_entries(F.coalesce(params, F.create_map().cast("map<string,string>"))),
-        template,
-        lambda acc, e: F.replace(acc, F.concat(F.lit("{"), e["key"], F.lit("}")), e["value"]),
+    template = col(template)
+    params = F.coalesce(col(params), F.create_map().cast("map<string,string>"))
+    # The template is split at its marks once, so a value that holds a mark stays as it is.
+    filled = F.array_join(
+        F.zip_with(
+            F.split(template, r"\{\w+\}", -1), F.regexp_extract_all(template, F.lit(r"\{(\w+)\}"), F.lit(1)),
+            lambda piece, name: F.concat(
+                piece, F.when(name.isNull(), F.lit("")).otherwise(F.coalesce(F.try_element_at(params, name), F.lit("")))
+            ),
+        ),
+        "",
     )
     missing = F.exists(
         F.regexp_extract_all(template, F.lit(r"\{(\w+)\}"), F.lit(1)),

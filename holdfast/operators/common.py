@@ -58,35 +58,25 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -
 
 
 def first_n_per_key(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, rank: str = "_rank",
-    spread: Column | None = None, parts: int = 64,
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, rank: str = "_rank", parts: int = 64,
 ) -> DataFrame:
-    """The first ``n`` rows of every key, ranked from 1.
+    """The first ``n`` rows of every key, ranked from 1; one plan for every ``n``.
 
-    Up to the planner's limit (1000) the cut already happens before the shuffle.
-    Above it the rows are first cut inside ``parts`` slices of each key, so the last
-    step sees at most ``n * parts`` rows of a key however large the key is.
+    Rows are first cut inside ``parts`` hash slices of each key, so the last step sees at
+    most ``n * parts`` rows of a key however large the key is.
     """
-    rows = df
-    if n > 1000:
-        slice_of = F.pmod(F.xxhash64(*order_columns(order, spread)), F.lit(parts))
-        part = Window.partitionBy(*keys, "_slice").orderBy(*order)
-        rows = (
-            df.withColumn("_slice", slice_of)
-            .withColumn("_part_rank", F.row_number().over(part))
-            .filter(F.col("_part_rank") <= n)
-            .drop("_slice", "_part_rank")
-        )
+    hashed = [F.col(f"`{name}`") for name, kind in df.dtypes if "map<" not in kind and kind != "variant"]
+    part = Window.partitionBy(*keys, "_slice").orderBy(*order)
+    rows = (
+        df.withColumn("_slice", F.pmod(F.xxhash64(*hashed), F.lit(parts)))
+        .withColumn("_part_rank", F.row_number().over(part))
+        .filter(F.col("_part_rank") <= n)
+        .drop("_slice", "_part_rank")
+    )
     whole = Window.partitionBy(*keys).orderBy(*order)
     return rows.withColumn(rank, F.row_number().over(whole)).filter(F.col(rank) <= n)
 
 
-def order_columns(order: Sequence[Column], spread: Column | None) -> list[Column]:
-    if spread is not None:
-        return [spread]
-    return list(order)
-
-
 def running_count(
     df: DataFrame, keys: Sequence[str], order: str, condition: Column, name: str, block: int = 4096,
 ) -> DataFrame:
@@ -113,24 +103,6 @@ def running_count(
     )
 
 
-def dense_index(df: DataFrame, order: str, name: str, block: int = 1_000_000) -> DataFrame:
-    """0-based position along a unique integer column without a single-task sort.
-
-    Ranks inside blocks of the order value plus the row count of earlier blocks.
-    """
-    cut = df.withColumn("_block", F.floor(F.col(order) / block))
-    sizes = cut.groupBy("_block").agg(F.count(F.lit(1)).alias("_rows"))
-    # One row per million order values: the only global window sees block sizes.
-    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_block", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy("_block").orderBy(order)
-    return (
-        cut.join(starts, "_block")
-        .withColumn(name, F.col("_start") + F.row_number().over(inside) - 1)
-        .drop("_block", "_start")
-    )
-
-
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Every double rounded, for display and comparison only."""
     return df.select(

@@ -1,8 +1,8 @@
 """Experiment-design generation: rule sets, schedules, cases, checks, request plans.
 
 A design is one row of a ``designs`` table (``design_id``, ``seed``,
-``target_rule_id``); all designs are generated together.  Rule pools are small fixed
-lists (at most ten rules), so their combinations are a bounded lookup table.
+``target_rule_id``); all designs are generated together.  Rule pools are short lists
+whose combinations of the wanted sizes are a lookup table.
 """
 
 from __future__ import annotations
@@ -19,9 +19,6 @@ from holdfast.functions import text as tx
 from holdfast.operators import context as cx
 from holdfast.operators.common import first_n_per_key, first_per_key, literal_rows
 
-MAX_POOL_RULES = 10
-MAX_BENIGN_POOL = 1000
-
 
 # --- rule sets ----------------------------------------------------------------------
 
@@ -39,22 +36,24 @@ def rule_set_variants(
 ) -> DataFrame:
     """Every choice of filler rules around every target, numbered in dictionary order.
 
-    One row per (target, rule_count, combination); at most 10 x 512 rows by the check
-    on the pool size.
+    One row per (target, rule_count, combination).  Combinations grow one rule at a time,
+    as rows, and only up to the largest wanted size.
     """
     ids = _sorted_rules(rule_ids)
-    if len(ids) > MAX_POOL_RULES:
-        raise ValueError(f"rule pool has {len(ids)} rules, at most {MAX_POOL_RULES} are enumerated")
     pool = F.array(*[F.lit(r) for r in ids])
-    masks = spark.range(2 ** (len(ids) - 1)).select(
-        F.col("id").alias("mask"), literal_rows(ids).alias("target_rule_id")
-    )
-    bits = F.filter(
-        F.sequence(F.lit(0), F.lit(len(ids) - 2)),
-        lambda i: F.col("mask").bitwiseAND(F.pow(F.lit(2), i).cast("long")) != 0,
-    )
+    grown = spark.range(1).select(F.array().cast("array<int>").alias("_bits"))
+    sized = [grown]
+    last = F.coalesce(F.try_element_at("_bits", F.lit(-1)), F.lit(-1))
+    for _ in range(min(max(rule_counts, default=1), len(ids)) - 1):
+        grown = grown.filter(last < len(ids) - 2).select(
+            F.col("_bits"), F.explode(F.sequence(last + 1, F.lit(len(ids) - 2))).alias("_next")
+        ).select(F.concat("_bits", F.array("_next")).alias("_bits"))
+        sized.append(grown)
+    combinations = sized[0]
+    for more in sized[1:]:
+        combinations = combinations.unionByName(more)
     others = F.filter(pool, lambda r: r != F.col("target_rule_id"))
-    rows = masks.withColumns({"_bits": bits, "_others": others}).withColumns(
+    rows = combinations.withColumn("target_rule_id", literal_rows(ids)).withColumn("_others", others).withColumns(
         {
             "filler_rule_ids": F.transform("_bits", lambda i: F.get(F.col("_others"), i)),
             "rule_count": F.size("_bits") + 1,
@@ -85,12 +84,21 @@ def composition(rule_ids: Column | str, types: Mapping[str, str]) -> Column:
     return F.map_from_entries(F.filter(entries, lambda e: e["value"] > 0))
 
 
+def unknown_targets(designs: DataFrame, variants: DataFrame) -> DataFrame:
+    """Designs whose target is not in the rule pool."""
+    return designs.join(variants, "target_rule_id", "left_anti")
+
+
 def design_rule_sets(designs: DataFrame, variants: DataFrame) -> DataFrame:
     """All rule sets of every design (its target fixes the lookup rows).
 
-    The broadcast side is the bounded combination table.
+    A target outside the pool is an error; ``unknown_targets`` lists such designs.
     """
-    return designs.join(F.broadcast(variants), "target_rule_id")
+    rows = designs.join(variants, "target_rule_id", "left")
+    known = F.when(F.col("rule_count").isNotNull(), F.col("rule_count")).otherwise(
+        F.raise_error(F.concat(F.lit("target rule is not in the pool: "), F.col("target_rule_id")))
+    )
+    return rows.withColumn("rule_count", known)
 
 
 def sampled_rule_sets(designs: DataFrame, variants: DataFrame, samples: int = 10) -> DataFrame:
@@ -119,9 +127,7 @@ def sampled_rule_sets(designs: DataFrame, variants: DataFrame, samples: int = 10
 
 
 def shuffled_pool(pool: Sequence[str], *seed: Column | str) -> Column:
-    """The benign prompts in an order fixed by the seed columns."""
-    if len(pool) > MAX_BENIGN_POOL:
-        raise ValueError(f"benign pool has {len(pool)} prompts, at most {MAX_BENIGN_POOL} fit in a row")
+    """The benign prompts in an order fixed by the seed columns; each row sorts the whole pool."""
     keyed = F.array(
         *[
             F.struct(lb.sampling_key(*seed, F.lit(i)).alias("k"), F.lit(p).alias("p"))
@@ -189,8 +195,10 @@ def schedule_label(turn_count: Column | str, names: Column | str) -> Column:
 def prompt_lookup(prompts: DataFrame, key: str = "level") -> DataFrame:
     """One row per rule with a map key -> (prompt_id, prompt_text)."""
     picked = F.struct(F.col("prompt_id").alias("prompt_id"), F.col("prompt_text").alias("prompt_text"))
-    return prompts.groupBy(F.col("rule_id").alias("target_rule_id")).agg(
-        F.map_from_entries(F.collect_set(F.struct(F.col(key).alias("k"), picked.alias("v")))).alias("prompts")
+    # Of several prompts for one rule and key the first by id counts.
+    single = prompts.groupBy("rule_id", F.col(key).alias("k")).agg(F.min(picked).alias("v"))
+    return single.groupBy(F.col("rule_id").alias("target_rule_id")).agg(
+        F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("prompts")
     )
 
 
@@ -241,7 +249,7 @@ def with_balanced_conversation(cases: DataFrame, lookup: DataFrame, pool: Sequen
     ``lookup`` (see ``prompt_lookup``) has one row per rule of the pool.
     """
     modes = F.create_map(*[F.lit(x) for pair in LEVEL_MODES.items() for x in pair])
-    rows = cases.join(F.broadcast(lookup), "target_rule_id", "left")
+    rows = cases.join(lookup, "target_rule_id", "left")
     attacks = F.transform(
         "attack_levels",
         lambda lv: F.struct(
@@ -309,7 +317,7 @@ def sampled_cases(
 
 def with_sampled_conversation(cases: DataFrame, lookup: DataFrame, pool: Sequence[str]) -> DataFrame:
     """Adds ``conversation_template`` and the scenario ids used to sampled cases."""
-    rows = cases.join(F.broadcast(lookup), "target_rule_id", "left")
+    rows = cases.join(lookup, "target_rule_id", "left")
     attacks = F.transform(
         "attack_order",
         lambda m: F.struct(
@@ -443,6 +451,11 @@ TRACE_TURN_FIELDS = ["turn", "role", "attack_mode", "attack_targets", "prompt_id
 
 def trace_rows(cases: DataFrame, max_turns: int = 15) -> DataFrame:
     """One wide provenance row per case: scalar columns, joined lists, JSON cells, turns."""
+    # Turns beyond the wide columns are an error, not a loss.
+    fits = F.when(F.size("conversation_template") <= max_turns, F.col("conversation_template")).otherwise(
+        F.raise_error(F.lit(f"a case has more than {max_turns} turns"))
+    )
+    cases = cases.withColumn("conversation_template", fits)
     listed = ["attack_order", "rule_set_variant", "filler_rule_ids", "source_scenario_ids"]
     scalars = [
         n for n, t in cases.dtypes
@@ -495,13 +508,11 @@ def first_probe(probes: DataFrame, order: Sequence[Column]) -> DataFrame:
     return first_per_key(probes, ["rule_count_level", "intensity", "target_rule"], order)
 
 
-def turn_pools(binned: DataFrame, max_turns: int) -> DataFrame:
-    """Per token bin the first ``max_turns`` contents in order and the pool size.
-
-    An array holds at most ``max_turns`` texts because the rank is cut first.
-    """
+def turn_pools(binned: DataFrame, turn_counts: Sequence[int]) -> DataFrame:
+    """Per token bin the contents that the longest history needs, in order, and the pool size."""
+    depth = max(turn_counts, default=0)
     sizes = binned.groupBy("token_length_bin").agg(F.count(F.lit(1)).alias("pool_size"))
-    heads = binned.filter(F.col("bin_rank") <= max_turns).groupBy("token_length_bin").agg(
+    heads = binned.filter(F.col("bin_rank") <= depth).groupBy("token_length_bin").agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("bin_rank", "content"))), lambda e: e["content"]
         ).alias("pool")
@@ -510,10 +521,12 @@ def turn_pools(binned: DataFrame, max_turns: int) -> DataFrame:
 
 
 def cyclic_turns(pool: Column | str, pool_size: Column | str, count: Column | str) -> Column:
-    """``count`` turns from the pool, starting over at its end."""
+    """``count`` turns from the pool, starting over at its end; a pool cut too short is an error."""
     pool, size = tx.col(pool), tx.col(pool_size)
     none = F.array().cast("array<string>")
     return F.when(
+        F.size(pool) < F.least(tx.col(count), size), F.raise_error(F.lit("the pool holds fewer turns than are asked for"))
+    ).when(
         (tx.col(count) > 0) & (F.coalesce(size, F.lit(0)) > 0),
         F.transform(F.sequence(F.lit(0), tx.col(count) - 1), lambda i: F.get(pool, F.pmod(i, size).cast("int"))),
     ).otherwise(none)
@@ -525,7 +538,7 @@ def context_cases(
 ) -> DataFrame:
     """Baseline (no history, strategy once) and normal cases with rendered messages.
 
-    ``pools`` has one row per token bin, so its broadcast is bounded by the bin list.
+    ``pools`` has one row per token bin (``turn_pools`` with the same turn counts).
     """
     base = probes.withColumns(
         {
@@ -539,9 +552,7 @@ def context_cases(
         normal = probes.withColumns({"turn_count": literal_rows(positive), "difficulty": F.lit("normal")})
         normal = normal.withColumn("token_length", literal_rows(list(token_lengths)))
         rows = rows.unionByName(normal.withColumn("strategy", literal_rows(list(strategies))))
-    joined = rows.join(
-        F.broadcast(pools.withColumnRenamed("token_length_bin", "token_length")), "token_length", "left"
-    )
+    joined = rows.join(pools.withColumnRenamed("token_length_bin", "token_length"), "token_length", "left")
     history = cx.user_history(cyclic_turns("pool", "pool_size", "turn_count"), "strategy")
     cases = joined.withColumn("rendered_user_message", cx.embed_history(history, "question")).drop("pool", "pool_size")
     return with_token_counts(cases, counter).withColumn(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,17 +15,6 @@ from holdfast.operators.records import latest_per_key
 
 SLOT_KEY = [*RECORD_KEY, "turn", "score_index", "rule_id"]
 
-RULE_PROMPT = (
-    "## Rule\n{rule_text}\n\n## User Message\n{user_message}\n\n"
-    "## Assistant Response\n{response}\n\nEvaluate compliance. Output JSON only."
-)
-TASK_PROMPT = (
-    "## Conversation Context\n{conversation}\n\n## Target Question\n{target_question}\n\n"
-    "## Expected Answer Criteria\nThe correct answer should be: {pass_criteria}\n\n"
-    "## Model's Response\n{response}\n\nOutput JSON only."
-)
-
-
 def item_id(turn: Column | str, score_index: Column | str, rule_id: Column | str) -> Column:
     return F.concat(
         F.lit("t"), tx.col(turn).cast("string"), F.lit("_s"), tx.col(score_index).cast("string"),
@@ -51,7 +40,10 @@ def judge_queue(cells: DataFrame, rules: DataFrame | None = None, force: bool =
 
 
 def fill(template: str, **parts: Column | str) -> Column:
-    """A prompt column from a template with ``{name}`` marks, each filled once."""
+    """A prompt column from a template with ``{name}`` marks, each filled once.
+
+    A mark takes the part of its name, or else the column of its name.
+    """
     pieces: list[Column] = []
     rest = template
     while True:
@@ -60,17 +52,26 @@ def fill(template: str, **parts: Column | str) -> Column:
         if start < 0 or end < 0:
             break
         name = rest[start + 1 : end]
-        pieces += [F.lit(rest[:start]), F.coalesce(tx.col(parts[name]), F.lit(""))]
+        pieces += [F.lit(rest[:start]), F.coalesce(tx.col(parts.get(name, name)), F.lit(""))]
         rest = rest[end + 1 :]
     pieces.append(F.lit(rest))
     return F.concat(*pieces)
 
 
-def rule_prompt(queue: DataFrame, template: str = RULE_PROMPT) -> DataFrame:
-    return queue.withColumn(
-        "prompt",
-        fill(template, rule_text="rule_text", user_message="user_message", response="response"),
+def judge_prompts(queue: DataFrame, templates: Mapping[str, str]) -> DataFrame:
+    """Adds ``prompt``, built from the template of the item's kind; a kind without one is an error."""
+    prompt = F.raise_error(F.concat(F.lit("no prompt template for kind "), F.col("kind")))
+    for kind, template in templates.items():
+        prompt = F.when(F.col("kind") == kind, fill(template)).otherwise(prompt)
+    return queue.withColumn("prompt", prompt)
+
+
+def with_user_message(responses: DataFrame, turns: DataFrame) -> DataFrame:
+    """Adds ``user_message``: the user row just before the response (case_id, turn), else null."""
+    asked = turns.filter(F.col("role") == "user").select(
+        "case_id", (F.col("turn") + 1).alias("turn"), F.col("content").alias("user_message")
     )
+    return responses.join(asked, ["case_id", "turn"], "left")
 
 
 def item_payload() -> Column:

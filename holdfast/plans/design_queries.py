@@ -253,10 +253,34 @@ def sampled_case_trace(spark, sf):
     )
 
 
-@query("case_violations", "SELECT 'x' AS case_id, 'y' AS violation WHERE FALSE")
+@query(
+    "case_violations",
+    f"""WITH {ORDERED_SQL}, c AS (SELECT grp || '_' || attack_order_variant AS case_id, turn_count, condition FROM samp2)
+    SELECT case_id, unnest(['rule count differs from rule set', 'wrong filler count']) AS violation FROM c WHERE turn_count = 5
+    UNION ALL SELECT case_id, 'wrong number of turns' FROM c WHERE turn_count = 10
+    UNION ALL SELECT case_id, 'benign case with attacks' FROM c WHERE turn_count = 15 AND condition = 'injection_context'
+    UNION ALL SELECT case_id, 'duplicate case id' FROM c WHERE turn_count = 1""",
+)
 def case_violations(spark, sf):
-    """Generated cases satisfy every design rule, so no row comes back."""
-    return ds.case_violations(_full_sampled(spark, sf))
+    """Generated cases keep every rule of the design; here each kind of turn count is broken in one way."""
+    turns = F.col("turn_count")
+    cases = _full_sampled(spark, sf)
+    broken = cases.withColumn("rule_count", F.col("rule_count") + F.when(turns == 5, 1).otherwise(0)).withColumn(
+        "condition", F.when(turns == 15, F.lit("benign_context")).otherwise(F.col("condition"))
+    ).withColumn("turn_count", F.when(turns == 10, 11).otherwise(turns))
+    return ds.case_violations(broken.unionByName(broken.filter(F.col("turn_count") == 1)))
+
+
+@query(
+    "unknown_targets",
+    "SELECT o_orderkey AS design_id, 'R0' || (o_orderkey % 9) AS target_rule_id FROM orders WHERE o_orderkey % 9 NOT BETWEEN 1 AND 7",
+)
+def unknown_targets(spark, sf):
+    key = F.col("o_orderkey")
+    rows = tb.table(spark, sf, "orders").select(
+        key.alias("design_id"), F.concat(F.lit("R0"), (key % 9).cast("string")).alias("target_rule_id")
+    )
+    return ds.unknown_targets(rows, ds.rule_set_variants(spark, SEVEN)).select("design_id", "target_rule_id")
 
 
 @query(
@@ -411,7 +435,7 @@ ctx2 AS (SELECT *, 'exp_L' || rule_count_level || '_' || intensity || '_R' || ta
 
 def _context_cases(spark, sf):
     binned = prep.bin_turns(_pool(spark, sf).filter("keep"), BINS, 4, [F.col("conv_id"), F.col("turn")])
-    pools = ds.turn_pools(binned, 10)
+    pools = ds.turn_pools(binned, [5, 10])
     return ds.context_cases(probe_rows(spark, sf), pools, [0, 5, 10], list(BINS), ["once", "reinforced"])
 
 
@@ -576,13 +600,13 @@ def reinforced_turns(spark, sf):
 
 
 SUMMARY_SQL = f"""
-sm AS (SELECT case_id, turn, role, CASE WHEN {count_sql('content', TOKENS)} <= 50 OR turn % 3 = 0 THEN content ELSE left(content, 30) END AS content FROM t)
+sm AS (SELECT case_id, turn, role, CASE WHEN {count_sql('content', TOKENS)} <= 50 OR turn % 3 = 0 THEN content ELSE 'in short: ' || content END AS content FROM t)
 """
 
 
 def _summaries(spark, sf):
     turns = context_turns(spark, sf).filter(F.col("turn") % 3 != 0)
-    return turns.select("case_id", "turn", F.left("content", F.lit(30)).alias("summary"))
+    return turns.select("case_id", "turn", F.concat(F.lit("in short: "), "content").alias("summary"))
 
 
 @query("summarized_turns", f"WITH {TURNS_SQL}, {SUMMARY_SQL} SELECT case_id, turn, role, md5(content) AS content_md5 FROM sm")

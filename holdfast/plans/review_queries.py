@@ -441,20 +441,36 @@ def judge_queue(spark, sf):
     return queue.select("case_id", "turn", "item_id", "kind", "rule_text")
 
 
+PROMPT_TEMPLATES = {
+    "behavioral": "Rule: {rule_text}\nAsked: {user_message}\nAnswered: {response}\nIs the rule kept?",
+    "language": "Which language is this?\n{response}\nWanted: {rule_text}",
+    "task": "Question {user_message} expects {rule_text}.\nGiven: {response}",
+}
+
+
 @query(
     "judge_prompts",
-    """SELECT conv_id AS case_id, turn, md5('## Rule' || chr(10) || 'Rule ' || (conv_id % 7) || chr(10) || chr(10) || '## User Message'
-      || chr(10) || 'q{response}' || chr(10) || chr(10) || '## Assistant Response' || chr(10) || text || chr(10) || chr(10)
-      || 'Evaluate compliance. Output JSON only.') AS prompt_md5 FROM conversations WHERE role = 'assistant'""",
+    """SELECT a.conv_id AS case_id, a.turn, md5(CASE a.conv_id % 3
+        WHEN 0 THEN 'Rule: Rule ' || (a.conv_id % 7) || chr(10) || 'Asked: ' || coalesce(u.text, '') || chr(10) || 'Answered: ' || a.text
+          || chr(10) || 'Is the rule kept?'
+        WHEN 1 THEN 'Which language is this?' || chr(10) || a.text || chr(10) || 'Wanted: Rule ' || (a.conv_id % 7)
+        ELSE 'Question ' || coalesce(u.text, '') || ' expects Rule ' || (a.conv_id % 7) || '.' || chr(10) || 'Given: ' || a.text END) AS prompt_md5
+      FROM conversations a LEFT JOIN conversations u ON u.conv_id = a.conv_id AND u.turn = a.turn - 1 AND u.role = 'user'
+      WHERE a.role = 'assistant'""",
 )
 def judge_prompts(spark, sf):
+    kinds = F.array(*[F.lit(k) for k in PROMPT_TEMPLATES])
     rows = tb.responses(spark, sf).withColumns(
         {
             "rule_text": F.concat(F.lit("Rule "), (F.col("case_id") % 7).cast("string")),
-            "user_message": F.lit("q{response}"),
+            "kind": F.get(kinds, (F.col("case_id") % 3).cast("int")),
         }
     )
-    return jd.rule_prompt(rows).select("case_id", "turn", F.md5("prompt").alias("prompt_md5"))
+    turns = tb.table(spark, sf, "conversations").select(
+        F.col("conv_id").alias("case_id"), "turn", "role", F.col("text").alias("content")
+    )
+    prompts = jd.judge_prompts(jd.with_user_message(rows, turns), PROMPT_TEMPLATES)
+    return prompts.select("case_id", "turn", F.md5("prompt").alias("prompt_md5"))
 
 
 @query(
@@ -626,7 +642,7 @@ def label_violations(spark, sf):
 
 AUDIT_SQL = f"""
 audit AS (SELECT CAST(review_id[2:] AS BIGINT) AS case_id, 1 + event_id % 7 AS turn, 'R0' || (1 + event_id % 7) AS rule_id,
-    review_id, action, applicable, human_pass_norm, reason FROM merged_labels WHERE event_id % 7 < 3),
+    review_id, action, applicable, human_pass_norm, reason FROM merged_labels),
 audited AS (SELECT c.case_id, c.turn, c.rule_id, c.score_index, c.pass AS judge_pass_before, a.review_id IS NOT NULL AS reviewed, a.action AS human_action,
     CASE WHEN a.review_id IS NULL THEN c.pass WHEN a.action = 'exclude' OR a.applicable = 'FALSE' THEN NULL
       WHEN a.action = 'override' THEN CASE a.human_pass_norm WHEN 'TRUE' THEN TRUE WHEN 'FALSE' THEN FALSE END ELSE c.pass END AS pass,
@@ -638,7 +654,7 @@ audited AS (SELECT c.case_id, c.turn, c.rule_id, c.score_index, c.pass AS judge_
 def _audited(spark, sf):
     n = F.col("event_id")
     merged = au.merge_labels(au.normalize_labels(human_labels(spark, sf)), "ord")
-    audit = merged.filter(n % 7 < 3).select(
+    audit = merged.select(
         F.substring("review_id", 2, 20).cast("long").alias("case_id"), (1 + n % 7).cast("int").alias("turn"),
         F.concat(F.lit("R0"), (1 + n % 7).cast("string")).alias("rule_id"), "review_id", "action", "applicable",
         "human_pass_norm", "reason",

@@ -42,9 +42,9 @@ pool AS (SELECT *, length(content) >= 40 AND {ENGLISH_SQL.format(x='content')}
     {count_sql('content', TOKENS)} AS token_count
   FROM pool0 WHERE content <> ''),
 binned AS (SELECT *, CASE WHEN token_count BETWEEN 1 AND 30 THEN 'short' WHEN token_count BETWEEN 31 AND 60 THEN 'medium'
-    WHEN token_count BETWEEN 61 AND 2000 THEN 'long' END AS token_length_bin FROM pool WHERE keep)
+    WHEN token_count >= 61 THEN 'long' END AS token_length_bin FROM pool WHERE keep)
 """
-BINS = {"short": (1, 30), "medium": (31, 60), "long": (61, 2000)}
+BINS = {"short": (1, 30), "medium": (31, 60), "long": (61, 1 << 31)}
 
 
 def _pool(spark, sf):
@@ -223,14 +223,14 @@ scen(scenario, template, checkt, rc) AS (VALUES
 cs AS (SELECT doc_id, ['vault','gate','open'][1 + doc_id % 3] AS scenario,
     CASE WHEN doc_id % 2 = 0 THEN 'basic' ELSE 'redteam' END AS suite, 'k' || doc_id AS secret,
     CASE WHEN doc_id % 5 <> 0 THEN 'w' || (doc_id % 7) END AS word,
-    CASE WHEN doc_id % 4 <> 0 THEN left(text, 40) END AS ask FROM documents),
+    CASE WHEN doc_id % 4 <> 0 THEN text END AS ask FROM documents),
 picked AS (SELECT * FROM cs QUALIFY row_number() OVER (PARTITION BY suite, scenario ORDER BY doc_id) <= 30)
 """
 
 
 def _scenario_cases(spark, sf):
     doc = F.col("doc_id")
-    user = F.struct(F.lit("user").alias("role"), F.left("text", F.lit(40)).alias("content"))
+    user = F.struct(F.lit("user").alias("role"), F.col("text").alias("content"))
     early = F.struct(F.lit("user").alias("role"), F.lit("hello").alias("content"))
     other = F.struct(F.lit("assistant").alias("role"), F.lit("ok").alias("content"))
     params = F.map_filter(
@@ -282,7 +282,7 @@ TARGETS = {1: [3], 3: [1, 3], 5: [1, 3, 14]}
       (5, 1, '1,3,5,8,14'), (5, 3, '1,3,5,8,14'), (5, 14, '1,3,5,8,14'))
     SELECT 'L' || rule_count_level || '_R' || e.target_rule || '_' || intensity || '_P' || probe_index AS probe_id,
       rule_count_level, e.target_rule AS target_rule, intensity, probe_index, rule_ids,
-      CASE probe_index WHEN 0 THEN left(text, 20) ELSE right(text, 20) END AS question
+      CASE probe_index WHEN 0 THEN text ELSE 'again: ' || text END AS question
     FROM e JOIN lv ON lv.target_rule = e.target_rule WHERE probe_index < 2""",
 )
 def probe_matrix(spark, sf):
@@ -290,7 +290,7 @@ def probe_matrix(spark, sf):
     questions = tb.table(spark, sf, "benchmark").select(
         F.element_at(F.array(F.lit(1), F.lit(3), F.lit(14)), (item % 3).cast("int") + 1).alias("target_rule"),
         F.when(item % 2 == 0, F.lit("basic")).otherwise(F.lit("redteam")).alias("intensity"),
-        F.array(F.left("text", F.lit(20)), F.right("text", F.lit(20)), F.lit("third")).alias("questions"),
+        F.array("text", F.concat(F.lit("again: "), "text"), F.lit("third")).alias("questions"),
     )
     out = prep.probe_matrix(questions, LEVELS, TARGETS, 2)
     return out.withColumn("rule_ids", F.array_join(F.col("rule_ids").cast("array<string>"), ","))

@@ -22,14 +22,33 @@ from holdfast.sources.readers import matching_paths
 def work_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder below the cluster's shared checkpoint folder.
 
-    Only where none is configured (local tests) a temporary folder is used.
+    Without one a cluster is refused, because its executors would write to their own
+    disks; a local session uses a temporary folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="holdfast-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def batch_folder(batch: DataFrame, path: str, epoch: int) -> str:
+    """The folder of one micro-batch.  The query's id comes from its checkpoint: a replay
+    meets its own folder, a query with a new checkpoint never meets another's."""
+    query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "batch"
+    return f"{path}/query={query}/epoch={epoch}"
+
+
+def finished_batches(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """All batch folders that were written to their end; empty if there are none and ``schema`` is given."""
+    marks = matching_paths(spark, [f"{path}/query=*/epoch=*/_SUCCESS"])
+    if not marks and schema is not None:
+        return spark.createDataFrame([], schema)
+    rows = spark.read.option("basePath", path).parquet(*[m.removesuffix("/_SUCCESS") for m in marks])
+    return rows.drop("query", "epoch")
+
+
 def run_available(
     stream: DataFrame, target: str, checkpoint: str, mode: str = "append",
     write: Callable[[DataFrame, int], None] | None = None,
@@ -70,20 +89,23 @@ def verdict_log_writer(path: str, keys: Sequence[str], order: str) -> Callable[[
     """
 
     def write(batch: DataFrame, epoch: int) -> None:
-        latest_per_key(batch, keys, order).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        latest_per_key(batch, keys, order).write.mode("overwrite").parquet(batch_folder(batch, path, epoch))
 
     return write
 
 
-def current_verdicts(spark: SparkSession, path: str, keys: Sequence[str], order: str) -> DataFrame:
+def current_verdicts(
+    spark: SparkSession, path: str, keys: Sequence[str], order: str, schema: str | None = None
+) -> DataFrame:
     """Last verdict per slot over the whole log."""
-    paths = matching_paths(spark, [f"{path}/epoch=*"])
-    return latest_per_key(spark.read.option("basePath", path).parquet(*paths), keys, order).drop("epoch")
+    return latest_per_key(finished_batches(spark, path, schema), keys, order)
 
 
 def compact_verdicts(spark: SparkSession, path: str, target: str, keys: Sequence[str], order: str) -> None:
     """Rewrite the log as one batch in a new place."""
-    current_verdicts(spark, path, keys, order).write.mode("errorifexists").parquet(f"{target}/epoch=0")
+    current_verdicts(spark, path, keys, order).write.mode("errorifexists").parquet(
+        f"{target}/query=compacted/epoch=0"
+    )
 
 
 # --- first failure ----------------------------------------------------------------------
@@ -102,15 +124,19 @@ def upsert_writer(path: str) -> Callable[[DataFrame, int], None]:
     """Updated groups of each micro-batch in its own folder (see ``latest_updates``)."""
 
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.withColumn("updated", F.lit(epoch)).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        batch.withColumn("updated", F.lit(epoch)).write.mode("overwrite").parquet(batch_folder(batch, path, epoch))
 
     return write
 
 
-def latest_updates(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
-    paths = matching_paths(spark, [f"{path}/epoch=*"])
-    rows = spark.read.option("basePath", path).parquet(*paths).drop("epoch")
-    return latest_per_key(rows, keys, "updated").drop("updated")
+def latest_updates(spark: SparkSession, path: str, keys: Sequence[str], schema: str | None = None) -> DataFrame:
+    return latest_per_key(finished_batches(spark, path, schema), keys, "updated").drop("updated")
+
+
+def compact_updates(spark: SparkSession, path: str, target: str, keys: Sequence[str]) -> None:
+    """Rewrite the batches so far as one in a new place; batches written there later go above it."""
+    rows = latest_updates(spark, path, keys).withColumn("updated", F.lit(-1))
+    rows.write.mode("errorifexists").parquet(f"{target}/query=compacted/epoch=0")
 
 
 # --- failure rates ------------------------------------------------------------------------

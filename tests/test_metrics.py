@@ -117,3 +117,13 @@ def test_hot_key_is_cut_before_the_shuffle(spark):
     df = spark.range(1000).select((F.col("id") % 3).alias("k"), "id")
     plan = first_n_per_key(df, ["k"], [F.col("id")], 3)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+@pytest.mark.parametrize("n", [1, 1000, 1001])
+@pytest.mark.parametrize("down", [False, True])
+def test_first_n_is_one_plan_for_every_n(spark, n, down):
+    df = spark.range(5000).select((F.col("id") % 2).alias("k"), F.col("id").alias("v"))
+    order = F.col("v").desc() if down else F.col("v").asc()
+    got = {(r.k, r.v) for r in first_n_per_key(df, ["k"], [order], n).collect()}
+    values = sorted(range(5000), reverse=down)
+    assert got == {(k, v) for k in (0, 1) for v in [x for x in values if x % 2 == k][:n]}

@@ -196,3 +196,35 @@ def test_label_helpers(spark):
     assert one(spark, lb.text_bool(F.lit(" none "))) == "NA"
     ids = spark.createDataFrame([("R10",), ("R2",), ("x",), ("R1",)], "r string")
     assert [r.r for r in ids.orderBy(*lb.natural_rule_order("r")).collect()] == ["R1", "R2", "R10", "x"]
+
+
+@pytest.mark.parametrize("mark", ["\r", "\x85", " "])
+def test_only_newlines_end_lines(spark, mark):
+    keep = {"num_highlights": 0, "num_bullets": 0}
+    text = f"a{mark}# b{mark}- c"
+    kw = spark.range(1).select(F.struct(*[F.lit(v).alias(k) for k, v in keep.items()]).alias("kw"), F.lit(text).alias("r"))
+    got = kw.select(
+        cn.highlighted_sections(F.col("r"), F.col("kw")).alias("h"), cn.bullet_total(F.col("r"), F.col("kw")).alias("b")
+    ).first()
+    assert (got.h, got.b) == (True, True)
+    rule = {"pattern": F.lit("[.!?]$"), "negate": F.lit(False)}
+    assert one(spark, rl.pattern(F.lit(f"end.{mark}more"), rule)["pass"]) is False
+
+
+def test_marks_inside_values_stay(spark):
+    params = F.create_map(F.lit("a"), F.lit("{b}"), F.lit("b"), F.lit("x"))
+    assert one(spark, tx.render_template(F.lit("{a} {b} {a}"), params)) == "{b} x {b}"
+
+
+@pytest.mark.parametrize(
+    ("text", "clean"),
+    [("★ ✓ ☆ 12 # *", True), ("©", False), ("™", False), ("↔", False), ("1️⃣", False), ("▪", False), ("✔", False), ("🙂", False)],
+)
+def test_emoji_points(spark, text, clean):
+    assert one(spark, rl.domain_rule(F.lit(4), F.lit(text))) is clean
+
+
+def test_honorific_share_rounds_half_to_even(spark):
+    rule = {"expect_honorific": F.lit(True)}
+    text = "합니다 " + "한다 " * 7
+    assert one(spark, rl.honorific(F.lit(text), rule)["detail"]).endswith("1/8 (12%)")

@@ -93,3 +93,41 @@ def test_late_rows_beyond_the_watermark_are_dropped_and_counted(spark, feed, tmp
 def test_work_folder_uses_the_cluster_setting():
     conf = SimpleNamespace(get=lambda key, default: "/shared/" if key == "spark.checkpoint.dir" else default)
     assert jobs.work_folder(SimpleNamespace(conf=conf), "x").startswith("/shared/x-")
+
+
+def test_work_folder_is_refused_on_a_cluster_without_the_setting():
+    bare = SimpleNamespace(get=lambda key, default: default)
+    far = SimpleNamespace(conf=bare, sparkContext=SimpleNamespace(master="yarn"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        jobs.work_folder(far, "x")
+
+
+def test_lost_checkpoint_does_not_overwrite_older_verdicts(spark, tmp_path):
+    feed, out, key = Feed(spark, tmp_path / "in"), str(tmp_path / "out"), ["case_id"]
+    feed.send([("c1", "r", 1, True, "2024-01-01T00:00:00")])
+    jobs.run_available(feed.stream(), out, f"{tmp_path}/log1", write=jobs.verdict_log_writer(out, key, "turn"))
+    feed.send([("c2", "r", 1, False, "2024-01-01T00:00:00")])
+    jobs.run_available(feed.stream(), out, f"{tmp_path}/log2", write=jobs.verdict_log_writer(out, key, "turn"))
+    assert sorted(r.case_id for r in jobs.current_verdicts(spark, out, key, "turn").collect()) == ["c1", "c2"]
+    assert len(os.listdir(out)) == 2
+
+
+def test_empty_log_and_unfinished_batches(spark, tmp_path):
+    out = str(tmp_path / "none")
+    assert jobs.current_verdicts(spark, out, ["case_id"], "turn", "case_id string, turn long").collect() == []
+    spark.createDataFrame([("c1", 1)], "case_id string, turn long").write.parquet(f"{out}/query=a/epoch=0")
+    spark.createDataFrame([("c9", 1)], "case_id string, turn long").write.parquet(f"{out}/query=a/epoch=1")
+    os.remove(f"{out}/query=a/epoch=1/_SUCCESS")
+    assert [r.case_id for r in jobs.current_verdicts(spark, out, ["case_id"], "turn").collect()] == ["c1"]
+
+
+def test_compacted_first_failures(spark, tmp_path):
+    feed, out = Feed(spark, tmp_path / "in"), str(tmp_path / "out")
+    keys = ["case_id", "rule_id"]
+    for turn in (5, 3):
+        feed.send([("c1", "r", turn, True, "2024-01-01T00:00:00")])
+        stream = jobs.first_failure_stream(feed.stream(), keys)
+        jobs.run_available(stream, out, f"{tmp_path}/log", mode="update", write=jobs.upsert_writer(out))
+    jobs.compact_updates(spark, out, f"{tmp_path}/small", keys)
+    got = jobs.latest_updates(spark, f"{tmp_path}/small", keys).collect()
+    assert [r.first_failure_turn for r in got] == [3]
