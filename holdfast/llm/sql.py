@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _NORMAL = r"regexp_replace(coalesce(text, ''), '[ \x09-\x0D]', '', 'g')"
 
 ORACLES = {
@@ -15,5 +16,29 @@ WITH d AS (
   FROM d
 )
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM r
+""",
+    "op9_near_dedup": rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'),
+                                                   '[ \x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) < 2 THEN w
+    ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS shingles
+  FROM d
+), e AS (SELECT doc_id, unnest(shingles) AS shingle FROM s),
+p AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common
+  FROM e x JOIN e y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY 1, 2
+), l AS (
+  SELECT a, b FROM p JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b
+  WHERE 100 * common >= 80 * (len(x.shingles) + len(y.shingles) - common)
+), links AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reached(doc_id, root) AS (
+  SELECT doc_id, doc_id FROM s UNION SELECT b, root FROM reached JOIN links ON a = doc_id
+)
+SELECT doc_id, CAST(len(any_value(shingles)) AS BIGINT) AS n_shingles, min(root) AS component_id,
+       doc_id = min(root) AS kept
+FROM s JOIN reached USING (doc_id) GROUP BY doc_id
 """,
 }
