@@ -34,6 +34,9 @@ HEADLINE = [
     "batch_reply_verdicts",
     "transform_size_changes",
     "sampled_case_matrix",
+    "document_token_counts",
+    "safety_audit",
+    "streamed_score_cells",
 ]
 
 

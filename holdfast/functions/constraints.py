@@ -107,7 +107,10 @@ def letter_frequency(r: Column, kw: Column) -> Column:
 
 
 def valid_json(r: Column, kw: Column) -> Column:
-    return F.try_parse_json(tx.strip(r)).isNotNull()
+    # Duplicate keys of one object count as invalid, as NaN does: the parser refuses both.
+    return tx.bind(
+        tx.strip(r), lambda s: F.when(s.rlike(tx.MAY_BE_JSON), F.try_parse_json(s).isNotNull()).otherwise(F.lit(False))
+    )
 
 
 def markdown_title(r: Column, kw: Column) -> Column:

@@ -11,6 +11,9 @@ from holdfast.functions import fixed_values as fx
 
 TokenCounter = Callable[[Column], Column]
 
+# Text that cannot be JSON is not handed to the parser: a failed parse is slow.
+MAY_BE_JSON = r'\A(?:[\{\["0-9-]|true|false|null)'
+
 def col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 

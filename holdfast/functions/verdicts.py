@@ -20,12 +20,10 @@ def _embedded(raw: Column, field: str) -> Column:
     return F.regexp_extract(raw, rf'\{{[^{{}}]*"{field}"[^{{}}]*\}}', 0)
 
 
-# Text that cannot be JSON is not handed to the parser: a failed parse is slow.
-_MAY_BE_JSON = r'\A(?:[\{\["0-9-]|true|false|null)'
 
 
 def _json(text: Column) -> Column:
-    return F.when(text.rlike(_MAY_BE_JSON), F.try_parse_json(text))
+    return F.when(text.rlike(tx.MAY_BE_JSON), F.try_parse_json(text))
 
 
 def _get(value: Column, field: str, kind: str = "string") -> Column:
