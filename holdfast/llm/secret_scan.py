@@ -204,27 +204,29 @@ def scan(docs: DataFrame, rules: ScanRules = ScanRules()) -> DataFrame:
         return lambda c: ~F.exists(base, lambda b: (b["start"] < c["start"] + F.length(c["token"])) & (b["end"] > c["start"]))
 
     rows = sh.written(
-        docs.select("doc_id", base_spans(text, rules).alias("base"), found.alias("_found"))
+        docs.select(
+            "doc_id", base_spans(text, rules).alias("base"), found.alias("_found"),
+            F.monotonically_increasing_id().alias("_row"),
+        )
         .withColumn("tokens", F.filter("_found", apart(F.col("base")))).drop("_found"),
         "spans",
     )
     tokens = rows.filter(F.size("tokens") > 0)
     limits = thresholds(tested(tokens.select(F.explode("tokens").alias("t")).select("t.token")), rules)
     # The few documents with candidates are tested again by row, then joined by row number.
-    numbered = rows.withColumn("_row", F.monotonically_increasing_id())
     accepted = F.lit(False)
     for (encoding, size_class), t in sorted(limits.items()):
         accepted = accepted | (
             (F.col("encoding") == encoding) & (F.col("size_class") == size_class) & (F.col("p") > t)
         )
     again = tested(
-        numbered.filter(F.size("tokens") > 0).select("_row", F.explode("tokens").alias("t"))
+        tokens.select("_row", F.explode("tokens").alias("t"))
         .select("_row", "t.token", "t.start")
     ).filter(accepted)
     added = again.groupBy("_row").agg(F.sort_array(F.collect_list(
         _span(F.col("start"), "random", F.col("start") + F.length("token"))
     )).alias("random"))
-    return numbered.join(added, "_row", "left").select(
+    return rows.join(added, "_row", "left").select(
         "doc_id", "base", F.coalesce("random", F.array().cast(SPAN)).alias("random")
     )
 
