@@ -133,10 +133,6 @@ def unresolved_counts(cells: DataFrame, keys: Sequence[str] = RECORD_KEY) -> Dat
     )
 
 
-def complete_records(cells: DataFrame, keys: Sequence[str] = RECORD_KEY) -> DataFrame:
-    return unresolved_counts(cells, keys).filter(F.col("judge_status") == "complete")
-
-
 def status_matrix(cells: DataFrame, rule_ids: Sequence[str], keys: Sequence[str]) -> DataFrame:
     """Turn x rule matrix of one record: 1 passed, 0 failed, 0.5 without a score.
 

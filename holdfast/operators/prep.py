@@ -15,14 +15,6 @@ from holdfast.operators.common import first_n_per_key
 # --- user turns -------------------------------------------------------------------
 
 
-def explode_messages(conversations: DataFrame, messages: str = "conversations") -> DataFrame:
-    """Nested conversations -> one row per message with its position."""
-    keep = [c for c in conversations.columns if c != messages]
-    return conversations.select(*keep, F.posexplode(messages).alias("turn", "_m")).select(
-        *keep, "turn", "_m.*"
-    )
-
-
 def user_turns(messages: DataFrame, role: str = "role", text: str = "text") -> DataFrame:
     """User messages with cleaned, non-empty content."""
     rows = messages.filter(F.col(role).isin(fx.USER_ROLES)).withColumn("content", tx.clean_content(text))

@@ -7,8 +7,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from holdfast.functions import fixed_values as fx
-from holdfast.functions import labels as lb
 from holdfast.operators.common import first_per_key
 
 
@@ -229,10 +227,3 @@ def design_trace_counts(cases: DataFrame) -> DataFrame:
             "sampled_variant_id", "possible_variant_id", "active_rule_ids",
         ],
     )
-
-
-def rule_order(df: DataFrame, rule: str = "rule_id") -> DataFrame:
-    return df.orderBy(*lb.natural_rule_order(rule))
-
-
-RULE_TYPE_ORDER = fx.RULE_TYPES

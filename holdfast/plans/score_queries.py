@@ -99,7 +99,9 @@ FAIL_RATE = "round(count(*) FILTER (NOT pass) / count(pass), 6) AS failure_rate"
     {FAIL_RATE} FROM final_cells WHERE pass IS NOT NULL GROUP BY 1, 2, 3, 4""",
 )
 def rule_failure_table(spark, sf):
-    return rounded(co.rule_failure_table(tb.final_counts(spark, sf)))
+    """In the published order: rule ids by their number."""
+    table = rounded(co.rule_failure_table(tb.final_counts(spark, sf)))
+    return co.published_order(table, ["rule_id", "rule_count", "turn_count", "attack_intensity"])
 
 
 @query(

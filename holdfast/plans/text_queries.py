@@ -100,6 +100,29 @@ def document_token_counts(spark, sf):
     return rows.withColumn("in_range", F.col("tokens").between(100, 400))
 
 
+@query(
+    "documents_in_word_range",
+    rf"""SELECT doc_id, {count_sql('text', f'[^{S}]+')} AS words FROM documents
+    WHERE {count_sql('text', f'[^{S}]+')} BETWEEN 50 AND 200""",
+)
+def documents_in_word_range(spark, sf):
+    """The token range with another counter: words."""
+    rows = tb.table(spark, sf, "documents").filter(tx.in_token_range("text", 50, 200, tx.word_count))
+    return rows.select("doc_id", tx.word_count("text").cast("long").alias("words"))
+
+
+@query(
+    "not_applicable_cells",
+    """SELECT conv_id AS case_id, turn, CAST(NULL AS BOOLEAN) AS pass, 'not_applicable' AS method,
+      'rule trigger condition not met' AS detail FROM conversations WHERE role = 'assistant' AND NOT contains(text, 'the')""",
+)
+def not_applicable_cells(spark, sf):
+    """The cell of a rule whose trigger (here a word of the response) is not met."""
+    cell = rl.not_applicable(F.col("response"), {})
+    rows = tb.responses(spark, sf).filter(~F.col("response").contains("the")).withColumn("cell", cell)
+    return rows.select("case_id", "turn", "cell.pass", "cell.method", "cell.detail")
+
+
 @query(
     "conversation_filter",
     """WITH c AS (SELECT conv_id, 'axis' || (conv_id % 4) AS axis, count(*) FILTER (role = 'user') AS turn_count,
