@@ -117,14 +117,17 @@ def case_turns(cases: DataFrame) -> DataFrame:
     )
 
 
-def read_text_table(spark: SparkSession, paths: Sequence[str] | str, required: Sequence[str] = ()) -> DataFrame:
+def read_text_table(
+    spark: SparkSession, paths: Sequence[str] | str, required: Sequence[str] = (), multi_line: bool = False
+) -> DataFrame:
     """CSV with a header, all columns text, nulls as empty text.
 
-    A byte-order mark on the first header name is removed; missing required columns
+    Large files are split over tasks; cells that hold line breaks need ``multi_line``,
+    which makes one task of each file.  A byte-order mark on the first header name is removed; missing required columns
     are an error.
     """
     rows = (
-        spark.read.option("header", True).option("inferSchema", False).option("multiLine", True)
+        spark.read.option("header", True).option("inferSchema", False).option("multiLine", multi_line)
         .option("escape", '"').csv(paths)
     )
     rows = rows.toDF(*[c.lstrip("﻿") for c in rows.columns])
@@ -140,7 +143,7 @@ def _is(column: str, value: str) -> Column:
 
 def read_attack_prompts(spark: SparkSession, path: str) -> DataFrame:
     """Curated attack prompts without the rows marked invalid; ``level`` is an int."""
-    rows = read_text_table(spark, path, sc.PROMPT_COLUMNS)
+    rows = read_text_table(spark, path, sc.PROMPT_COLUMNS, multi_line=True)
     return rows.filter(~_is("is_valid_prompt", "no")).withColumn(
         "level", F.col("attack_strength_level").try_cast("int")
     )
@@ -148,7 +151,7 @@ def read_attack_prompts(spark: SparkSession, path: str) -> DataFrame:
 
 def read_scenarios(spark: SparkSession, path: str) -> DataFrame:
     """Single-turn scenarios marked for use, with the rule set as an array."""
-    rows = read_text_table(spark, path, sc.SCENARIO_COLUMNS)
+    rows = read_text_table(spark, path, sc.SCENARIO_COLUMNS, multi_line=True)
     used = rows.filter(~_is("is_valid_prompt", "no") & _is("use_for_frontier_q2", "yes"))
     return used.withColumn(
         "rule_ids",

@@ -54,11 +54,13 @@ def write_version(table: DataFrame, path: str, version: int | None = None) -> in
     """Write the next version next to the old ones; readers switch when it is complete.
 
     The version being read is never touched, and a failed write leaves no commit marker.
+    Of two writers that take the same number the second fails.
     """
     spark = table.sparkSession
     if version is None:
-        version = max(versions(spark, path), default=0) + 1
-    table.write.mode("overwrite").parquet(f"{path}/{VERSION}{version}")
+        taken = matching_paths(spark, [f"{path}/{VERSION}*"])
+        version = max((int(t.rstrip("/").rsplit(VERSION, 1)[1]) for t in taken), default=0) + 1
+    table.write.mode("errorifexists").parquet(f"{path}/{VERSION}{version}")
     return version
 
 
