@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from holdfast.llm import shared as sh
+
 SCHEMA = "page_id bigint, url string, text string, n_chars bigint, path string"
 
 MARKUP = re.compile(
@@ -48,7 +50,7 @@ BLOCK_TAGS = frozenset(
 )
 VOID_TAGS = frozenset("hr".split())
 SPACE_TAGS = frozenset("br td th wbr img input option".split())
-CONTAINERS = frozenset("html body article main section div center td".split())
+CONTAINERS = frozenset("html body article main section div center".split())
 CLOSES_ITSELF = {"li": "ul ol menu".split(), "dt": ["dl"], "dd": ["dl"], "tr": ["table"]}
 BOILER_TAGS = frozenset("head nav header footer aside form dialog menu search".split())
 BOILER_WORDS = frozenset(
@@ -58,6 +60,8 @@ BOILER_WORDS = frozenset(
     "subscribe teaser toolbar widget widgets".split()
 )
 NOT_WORDS = frozenset("has with no without".split())
+# Tags that are taken for what they are, whatever their classes say.
+WHATEVER_CLASS = frozenset("html body article main h1 h2 h3 h4 h5 h6".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
 
 
@@ -145,7 +149,7 @@ def parse(source: str) -> Page:
                 flush()
                 close(tag)
             continue
-        odd = bool(words or role) and tag not in ("html", "body", "article", "main") and (
+        odd = bool(words or role) and tag not in WHATEVER_CLASS and (
             role in BOILER_ROLES
             or (not BOILER_WORDS.isdisjoint(words) and NOT_WORDS.isdisjoint(words))
         )
@@ -259,7 +263,10 @@ def host_paths(pages: DataFrame, rules: HostRules = HostRules()) -> DataFrame:
 def main_texts(pages: DataFrame, rules: HostRules = HostRules()) -> DataFrame:
     """One row per page: page_id, url, text, n_chars and the path it was taken from."""
     hosted = with_host(pages)
-    chosen = hosted.join(host_paths(hosted, rules), "host", "left").select("page_id", "url", "html", "paths")
+    # Written first, so that its real size decides: small, it is sent to all tasks and the
+    # pages are not shuffled; large, both sides are.
+    winners = sh.written(host_paths(hosted, rules), "host-paths")
+    chosen = hosted.join(winners, "host", "left").select("page_id", "url", "html", "paths")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
