@@ -36,6 +36,21 @@ def test_quality_rejects_symbols_and_keeps_prose(given, table):
     assert all(abs(sum(r.classes) - 1) < 1e-9 and abs(sum(r.shares) - 1) < 1e-9 for r in refs)
 
 
+def test_quality_rejects_texts_without_common_words(given, table):
+    def uncommon(i):  # letters, blanks and lengths of prose
+        digest = hashlib.sha512(str(i).encode()).hexdigest()
+        return digest[: 3 + i % 6].translate(str.maketrans("0123456789", "ghijklmnop"))
+
+    strange = {-1: " ".join(uncommon(i) for i in range(400)), -2: " ".join([uncommon(7)] * 200)}
+    prose = [r.doc_id for r in given.collect() if len(r.text.split()) > 150]
+    rows = table([(d, t, "en") for d, t in strange.items()])
+    rules = quality.QualityRules(max_repeat_percent=100)
+    out = {r["_d"].doc_id: r for r in quality.judge_rows(given.unionByName(rows), rules).collect()}
+    for d in strange:  # by this rule alone
+        assert out[d].class_distance < rules.max_class_distance and not out[d].base_failed and not out[d].kept, d
+    assert sum(out[d].kept for d in prose) > 0.75 * len(prose)
+
+
 def test_quality_without_labels_or_rows(table, odd_rows, clashing):
     blank = table([(1, "a b", None), (None, None, None)])
     assert [r.class_distance for r in quality.judge(blank).collect()] == [None, None]
