@@ -51,6 +51,20 @@ def test_quality_rejects_texts_without_common_words(given, table):
     assert sum(out[d].kept for d in prose) > 0.75 * len(prose)
 
 
+def test_quality_rejects_texts_of_marks_or_controls(given, table):
+    marks, controls = "?!.,;:-_@~^=", "\x00\x01\x02\x1b\u200b\ufffd"
+    strange = {
+        -1 - i: " ".join("".join(sample[(7 * j + k * k) % len(sample)] for k in range(3 + j % 5)) for j in range(90))
+        for i, sample in enumerate((marks, controls, "①②③④⑤⑥"))
+    }
+    rules = quality.QualityRules(max_repeat_percent=100)
+    rows = given.unionByName(table([(d, t, "en") for d, t in strange.items()]))
+    out = {r["_d"].doc_id: r for r in quality.judge_rows(rows, rules).collect()}
+    for d in strange:  # too short for the word rule
+        assert out[d].word_distance is None and not out[d].base_failed, d
+        assert out[d].class_distance > rules.max_class_distance and not out[d].kept, d
+
+
 def test_quality_without_labels_or_rows(table, odd_rows, clashing):
     blank = table([(1, "a b", None), (None, None, None)])
     assert [r.class_distance for r in quality.judge(blank).collect()] == [None, None]
