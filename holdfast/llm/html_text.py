@@ -11,7 +11,8 @@
 Blocks inside boilerplate (by tag or by class and id words) are left out everywhere.
 
 Cases: null or empty html gives an empty text; a null or odd url belongs to no host and
-the page's own container is used; unclosed tags, comments and scripts end with the page;
+the page's own container is used; unclosed tags, comments, scripts, styles, titles and text areas
+end with the page, of other unclosed hidden tags only the tag is left out;
 ties between paths go to the longer, then the first in order; repeated pages vote each;
 an empty table gives an empty result; extra columns are ignored.
 """
@@ -33,7 +34,7 @@ SCHEMA = "page_id bigint, url string, text string, n_chars bigint, path string"
 
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|textarea|title|iframe|svg|math|object|canvas|select|button)\b.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style|textarea|title)(?![\w-]).*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>"
     r"|</?[a-zA-Z][^>]*(?:>|\Z)"
     r"|<[!?/][^>]*(?:>|\Z)",
@@ -43,6 +44,9 @@ ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s
 WORDS = re.compile(r"[a-z]+")
 DIGITS = re.compile(r"\d+")
 
+# Left out with all inside when closed; without a close tag only the tag itself goes.
+HIDDEN_TAGS = frozenset("noscript template iframe svg math object canvas select button".split())
+EMPTY_BY_SLASH = frozenset("svg math".split())
 BLOCK_TAGS = frozenset(
     "html head body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr "
     "blockquote pre figure figcaption address details summary fieldset header footer nav aside form hr center "
@@ -96,6 +100,27 @@ def _attributes(raw: str) -> tuple[str, list[str], str]:
     return name, words, role
 
 
+def visible_marks(source: str) -> Iterator[tuple[int, int, re.Match[str]]]:
+    """Start, end and match of every mark; a closed hidden tag is one mark up to its close tag."""
+    marks = list(MARKUP.finditer(source))
+    opened: dict[str, list[int]] = {}
+    closed = {}
+    for i, m in enumerate(marks):
+        tag = (m[3] or "").lower()
+        if tag not in HIDDEN_TAGS:
+            continue
+        if not m[2]:
+            if not (tag in EMPTY_BY_SLASH and m[4].endswith("/")):
+                opened.setdefault(tag, []).append(i)
+        elif opened.get(tag):
+            closed[opened[tag].pop()] = i
+    i = 0
+    while i < len(marks):
+        last = closed.get(i, i)
+        yield marks[i].start(), marks[last].end(), marks[i]
+        i = last + 1
+
+
 def parse(source: str) -> Page:
     page = Page()
     page.tags.append("")
@@ -125,14 +150,14 @@ def parse(source: str) -> Page:
                 return
 
     at = 0
-    for m in MARKUP.finditer(source):
-        if m.start() > at:
-            parts.append(source[at : m.start()])
+    for start, end, m in visible_marks(source):
+        if start > at:
+            parts.append(source[at:start])
             if in_link:
-                linked += m.start() - at
-        at = m.end()
+                linked += start - at
+        at = end
         tag = m[3]
-        if tag is None:
+        if tag is None or tag.lower() in HIDDEN_TAGS:
             continue
         tag, closing, raw = tag.lower(), bool(m[2]), m[4]
         if tag == "a":

@@ -157,3 +157,15 @@ def test_page_texts(table):
     assert out[9].text == "Hi."  # the host's path, although the page's own best container is another
     assert (out[10].text, out[11].text, out[12].text, out[None].text, out[13].text) == ("a b", "", "", "", "deep")
     assert html_text.main_texts(table([], "page_id bigint, url string, html string")).collect() == []
+
+
+@pytest.mark.parametrize("mark", [
+    "<svg-icon name=x></svg-icon>", "<button-group></button-group>", "<title-card></title-card>", '<svg class="share" />',
+    "<math/>", "<svg viewBox='0 0 1 1'>", '<button class="share">', "<select>", "<button><button>x</button>", "<template>",
+    "<svg><svg/><g>x</g></svg>", "<noscript>x</noscript>",
+])
+def test_page_goes_on_after_hidden_tags(mark):
+    page = f"<body><article><p>one</p>{mark}<p>two</p><svg><text>drawn</text></svg><p>three</p></article></body>"
+    assert html_text.extract(page, []) == ("one\ntwo\nthree", "/body/article")
+    for raw in ("script", "style", "title", "textarea"):
+        assert html_text.extract(f"<body><p>one</p><{raw}>two <p>three", [])[0] == "one"
