@@ -2,7 +2,7 @@
 
 1. Each page is parsed once and its containers are scored by their text outside links and
    boilerplate; going down from the body, the page ends at the smallest container that
-   still holds most of it and votes for that container's generalised tag-class path.
+   still holds nearly all of its parent's text and votes for that container's generalised tag-class path.
 2. Votes are counted per (host, path) in Spark; a host's winning paths hold at least
    ``min_share`` of its votes.
 3. Each page is extracted again with the first winning path of its host that occurs in
@@ -72,7 +72,7 @@ BOILER_ROLES = frozenset("navigation banner contentinfo complementary search for
 @dataclass(frozen=True)
 class HostRules:
     min_share: float = 0.2
-    hold: float = 0.5  # a container goes on being the page's best while it holds this share of its parent's text
+    hold: float = 0.9  # a container goes on being the page's best while it holds this share of its parent's text
 
 
 @dataclass
@@ -201,7 +201,10 @@ def parse(source: str) -> Page:
 
 
 def best_container(page: Page, rules: HostRules = HostRules()) -> int:
-    """The smallest container that holds most clean text of the page, with its top heading."""
+    """The smallest container that holds nearly all clean text at every step down, with its top heading.
+
+    Where siblings share the text, their parent is taken; an article is no exception.
+    """
     n = len(page.tags)
     clean, heads = [0] * n, [0] * n
     for node, text, linked in page.blocks:
@@ -223,9 +226,9 @@ def best_container(page: Page, rules: HostRules = HostRules()) -> int:
         below = children.get(at, [])
         if not below:
             break
-        top = max(below, key=lambda i: (page.tags[i] == "article" and clean[i] > 0, clean[i], -i))
+        top = max(below, key=lambda i: (clean[i], -i))
         outer = page.tags[at] in ("", "html", "body")
-        if page.tags[top] != "article" and clean[top] < rules.hold * clean[at]:
+        if clean[top] < rules.hold * clean[at]:
             break
         if not outer and heads[top] < heads[at]:
             break

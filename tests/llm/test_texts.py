@@ -169,3 +169,20 @@ def test_page_goes_on_after_hidden_tags(mark):
     assert html_text.extract(page, []) == ("one\ntwo\nthree", "/body/article")
     for raw in ("script", "style", "title", "textarea"):
         assert html_text.extract(f"<body><p>one</p><{raw}>two <p>three", [])[0] == "one"
+
+
+@pytest.mark.parametrize(("inner", "path", "sizes"), [
+    ("<main><div class=lead>{a}</div><div class=rest>{b}</div></main>", "/body/main", (60, 40)),
+    ("<header><h1>T</h1></header><main><p>{a}</p><div>{b}</div></main>", "/body/main", (40, 60)),
+    ("<div class=post>{a}</div><article class=card>{b}</article>", "/body/div.post", (95, 5)),
+    ("<article><div class=one>{a}</div><div class=two>{b}</div></article>", "/body/article", (70, 30)),
+    ("<article class=part>{a}</article><article class=part>{b}</article>", "/body", (50, 50)),
+    ("<div class=post>{a}</div><div class=sidebar>{b}</div>", "/body/div.post", (30, 70)),
+])
+def test_page_parts_beside_each_other(inner, path, sizes, table):
+    a, b = ("word " * n for n in sizes)
+    page = f"<body>{inner.format(a=a, b=b)}</body>"
+    whole = path in ("/body", "/body/main", "/body/article")
+    rows = [(i, f"http://h.example/{i}", page) for i in range(3)]  # the path wins its host
+    for r in html_text.main_texts(table(rows, "page_id bigint, url string, html string")).collect():
+        assert r.path == path and r.text.count("word") == (sum(sizes) if whole else sizes[0])
