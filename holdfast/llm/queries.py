@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from holdfast.llm import (
-    exact_dedup, html_text, kd_shards, language_id, mixing, near_dedup, packing, quality, secret_scan, sql, token_counts,
+    exact_dedup, fingerprints, html_text, kd_shards, language_id, mixing, near_dedup, packing, quality, secret_scan, sql,
+    token_counts,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +92,8 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@_query
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.report(_documents(spark, sf_dir))
