@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from holdfast.llm import (
     exact_dedup, fingerprints, html_text, kd_shards, language_id, mixing, near_dedup, packing, quality, secret_scan, sql,
-    token_counts,
+    token_counts, whitening,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +97,8 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.report(_documents(spark, sf_dir))
+
+
+@_query
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
