@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from holdfast.llm import (
-    exact_dedup, fingerprints, html_text, kd_shards, language_id, mixing, near_dedup, packing, quality, secret_scan, sql,
-    token_counts, whitening,
+    exact_dedup, fingerprints, html_text, kd_shards, language_id, mixing, near_dedup, packing, prefix_trie, quality, secret_scan,
+    sql, token_counts, whitening,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,6 +99,11 @@ def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.report(_documents(spark, sf_dir))
 
 
+@_query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 @_query
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
