@@ -269,7 +269,7 @@ def _dealt(docs: DataFrame) -> DataFrame:
     ).withColumn("_at", F.col("key").cast("double"))
     parts = 4 * partitions
     steps = [i / parts for i in range(1, parts)]
-    cuts = keyed.agg(F.percentile_approx("_at", steps, 20 * parts).alias("cuts")).first()["cuts"] or []
+    cuts = keyed.agg(F.percentile_approx("_at", steps, 20 * parts).alias("cuts")).first()["cuts"] or [0.0]
     splits = [-float("inf"), *sorted(set(cuts)), float("inf")]
     cut = Bucketizer(splits=splits, inputCol="_at", outputCol="_part").transform(keyed)
     cut = cut.withColumn("part", F.col("_part").cast("int")).drop("_part", "_at")

@@ -14,7 +14,8 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_equals_oracle(spark, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for name_ in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {name_} AS SELECT * FROM '{SF}/{name_}.parquet'")
     got = queries.QUERIES[name](spark, SF).toPandas()
     want = con.execute(queries.ORACLES[name]).fetchdf()
     assert cq.canonical(got.astype(object).where(got.notna(), None)) == cq.canonical(
@@ -23,7 +24,7 @@ def test_query_equals_oracle(spark, name):
 
 
 def test_names():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
     assert [n for n, _ in corpus_pipeline.STAGES] == [
         "quality_rules", "exact_dedup", "minhash_near_dedup", "source_mixing", "packing"
     ]
