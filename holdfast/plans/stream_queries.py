@@ -63,21 +63,47 @@ def streamed_verdict_merge(spark, sf):
     return jobs.current_verdicts(spark, f"{folder}/out", ["slot"], "ord").select("slot", "ord", "verdict")
 
 
-FIRST_SQL = "SELECT user_id, event_type, min(event_id) FILTER (value > 40) AS first_failure_turn FROM events GROUP BY 1, 2"
+CELLS_SQL = """cells AS (SELECT *, epoch_us(ts) AS u, event_id AS turn, value > 40 AS failed,
+  lag(epoch_us(ts)) OVER (PARTITION BY user_id, event_type ORDER BY ts) AS p FROM events)"""
 
 
-@query("streamed_first_failure", FIRST_SQL)
-def streamed_first_failure(spark, sf):
-    cells = event_stream(spark, sf).select(
-        "user_id", "event_type", F.col("event_id").alias("turn"), (F.col("value") > 40).alias("failed")
+def _monitored_cells(spark, sf):
+    return event_stream(spark, sf).select(
+        "user_id", "event_type", F.col("event_id").alias("turn"), (F.col("value") > 40).alias("failed"), "ts"
     )
+
+
+@query(
+    "streamed_first_failure",
+    f"""WITH {CELLS_SQL},
+    s AS (SELECT *, sum(CASE WHEN p IS NULL OR u - p > 43200000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, event_type ORDER BY ts) AS sid FROM cells),
+    g AS (SELECT user_id, event_type, min(u) AS a, max(u) + 43200000000 AS b, min(turn) FILTER (failed) AS f, max(turn) AS l, count(*) AS n
+      FROM s GROUP BY user_id, event_type, sid)
+    SELECT user_id, event_type, min(a) // 1000000 AS started, max(b) // 1000000 AS ended, min(f) AS first_failure_turn,
+      max(l) AS last_turn, CAST(sum(n) AS BIGINT) AS cells, count(*) AS parts
+    FROM g WHERE b <= (SELECT max(epoch_us(ts)) FROM events) - 6 * 3600 * 1000000::BIGINT GROUP BY 1, 2""",
+)
+def streamed_first_failure(spark, sf):
+    """Trajectories silent for twelve hours are closed, emitted and out of the state; returning ones are put together."""
     folder = jobs.work_folder(spark, "first")
     keys = ["user_id", "event_type"]
+    watched = jobs.first_failure_monitor(_monitored_cells(spark, sf), keys, "ts", "12 hours", "6 hours")
+    jobs.run_available(watched, f"{folder}/out", f"{folder}/log")
+    closed = jobs.whole_trajectories(spark.read.schema(watched.schema).parquet(f"{folder}/out"), keys)
+    return closed.withColumns({n: F.unix_seconds(n) for n in ("started", "ended")})
+
+
+@query(
+    "streamed_failure_alerts",
+    f"WITH {CELLS_SQL} SELECT user_id, event_type, min(turn) AS first_failure_turn FROM cells WHERE failed GROUP BY 1, 2",
+)
+def streamed_failure_alerts(spark, sf):
+    folder = jobs.work_folder(spark, "alerts")
+    keys = ["user_id", "event_type"]
     jobs.run_available(
-        jobs.first_failure_stream(cells, keys), f"{folder}/out", f"{folder}/log", mode="update",
-        write=jobs.upsert_writer(f"{folder}/out"),
+        _monitored_cells(spark, sf), f"{folder}/out", f"{folder}/log", write=jobs.alert_writer(f"{folder}/out", keys)
     )
-    return jobs.latest_updates(spark, f"{folder}/out", keys)
+    return jobs.standing_alerts(spark, f"{folder}/out", keys)
 
 
 def _rates(spark, sf, keys, **window):

@@ -112,14 +112,67 @@ def compact_verdicts(spark: SparkSession, path: str, target: str, keys: Sequence
 
 
 def first_failure_stream(cells: DataFrame, keys: Sequence[str], turn: str = "turn", failed: str = "failed") -> DataFrame:
-    """First failed turn per trajectory, for update mode.
+    """First failed turn per trajectory, for update mode, over all time.
 
     Turns may come out of order: a lower failed turn simply lowers the minimum and the
-    group is emitted again.
+    group is emitted again.  Every trajectory stays in the state; use
+    ``first_failure_monitor`` where trajectories end.
     """
     return cells.groupBy(*keys).agg(F.min(F.when(F.col(failed), F.col(turn))).alias("first_failure_turn"))
 
 
+def first_failure_monitor(
+    cells: DataFrame, keys: Sequence[str], time: str, idle: str, delay: str, turn: str = "turn", failed: str = "failed",
+) -> DataFrame:
+    """First failed turn per trajectory with state that ends, for append mode.
+
+    A trajectory is over when it was silent for ``idle``; one row comes out when the
+    watermark (the latest time less ``delay``) passes that point, and its state is freed.
+    Until then turns may come in any order and a lower failed turn lowers the result.
+    Cells later than the watermark are dropped and counted (``dropped_late_rows``).  A
+    trajectory that speaks again after its end gives a further row; ``whole_trajectories``
+    puts these together.  For an answer at the failure itself see ``alert_writer``.
+    """
+    rows = cells.withWatermark(time, delay)
+    watched = rows.groupBy(F.session_window(time, idle).alias("w"), *keys).agg(
+        F.min(F.when(F.col(failed), F.col(turn))).alias("first_failure_turn"), F.count(F.lit(1)).alias("cells"),
+        F.max(turn).alias("last_turn"),
+    )
+    return watched.select(
+        *keys, F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "first_failure_turn", "last_turn", "cells"
+    )
+
+
+def whole_trajectories(closed: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The monitor's rows of one trajectory as one."""
+    return closed.groupBy(*keys).agg(
+        F.min("started").alias("started"), F.max("ended").alias("ended"),
+        F.min("first_failure_turn").alias("first_failure_turn"), F.max("last_turn").alias("last_turn"),
+        F.sum("cells").alias("cells"), F.count(F.lit(1)).alias("parts"),
+    )
+
+
+def alert_writer(
+    path: str, keys: Sequence[str], turn: str = "turn", failed: str = "failed"
+) -> Callable[[DataFrame, int], None]:
+    """Per micro-batch the first failed turn of every trajectory that failed in it; no state is kept.
+
+    The minimum over batches is the first failure, so ``standing_alerts`` needs nothing else.
+    """
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        alerts = batch.filter(F.col(failed)).groupBy(*keys).agg(F.min(turn).alias("first_failure_turn"))
+        alerts.write.mode("overwrite").parquet(batch_folder(batch, path, epoch))
+
+    return write
+
+
+def standing_alerts(spark: SparkSession, path: str, keys: Sequence[str], schema: str | None = None) -> DataFrame:
+    """First failed turn of every trajectory that failed so far."""
+    rows = finished_batches(spark, path, schema)
+    return rows.groupBy(*keys).agg(F.min("first_failure_turn").alias("first_failure_turn"))
+
+
 def upsert_writer(path: str) -> Callable[[DataFrame, int], None]:
     """Updated groups of each micro-batch in its own folder (see ``latest_updates``)."""
 
@@ -164,6 +217,11 @@ def windowed_failure_rates(
     )
 
 
+def state_rows(query: StreamingQuery) -> list[int]:
+    """Rows held in the state after each of the query's recent batches."""
+    return [sum(op.numRowsTotal for op in p.stateOperators) for p in query.recentProgress]
+
+
 def dropped_late_rows(query: StreamingQuery) -> int:
     """Rows dropped as too late over the query's recent batches."""
     return sum(

@@ -131,3 +131,49 @@ def test_compacted_first_failures(spark, tmp_path):
     jobs.compact_updates(spark, out, f"{tmp_path}/small", keys)
     got = jobs.latest_updates(spark, f"{tmp_path}/small", keys).collect()
     assert [r.first_failure_turn for r in got] == [3]
+
+
+def test_monitor_emits_at_the_end_and_frees_its_state(spark, feed, tmp_path):
+    day = "2026-01-0"
+    feed.send([("a", "R1", 5, True, f"{day}1T00:00:00"), ("b", "R1", 1, False, f"{day}1T00:10:00")])
+    feed.send([("a", "R1", 2, True, f"{day}1T00:20:00"), ("a", "R2", 7, False, f"{day}1T01:00:00")])  # a lower turn comes late
+    feed.send([("c", "R1", 3, True, f"{day}1T09:00:00")])
+    feed.send([("c", "R1", 4, False, f"{day}1T09:05:00")])
+    feed.send([("a", "R1", 1, True, f"{day}1T00:30:00")])  # after the end of its trajectory: dropped
+    feed.send([("a", "R1", 9, True, f"{day}2T00:00:00")])  # the trajectory speaks again
+    feed.send([("z", "R9", 1, False, f"{day}5T00:00:00")])
+    feed.send([("z", "R9", 2, False, f"{day}5T00:01:00")])
+    keys = ["case_id", "rule_id"]
+    stream = jobs.first_failure_monitor(feed.stream(), keys, "ts", "2 hours", "1 hour")
+    query = jobs.run_available(stream, f"{tmp_path}/out", f"{tmp_path}/log")
+    closed = spark.read.parquet(f"{tmp_path}/out")
+    got = {(r.case_id, r.rule_id, r.first_failure_turn, r.last_turn, r.cells) for r in closed.collect()}
+    assert got == {("a", "R1", 2, 5, 2), ("b", "R1", None, 1, 1), ("a", "R2", None, 7, 1), ("c", "R1", 3, 4, 2), ("a", "R1", 9, 9, 1)}
+    assert jobs.dropped_late_rows(query) == 1
+    held = jobs.state_rows(query)
+    assert max(held) >= 3 and held[-1] == 1  # only z is still open
+    whole = {(r.case_id, r.rule_id): (r.first_failure_turn, r.cells, r.parts) for r in jobs.whole_trajectories(closed, keys).collect()}
+    assert whole[("a", "R1")] == (2, 3, 2)
+
+
+def test_monitor_goes_on_after_a_restart(spark, feed, tmp_path):
+    def run():
+        stream = jobs.first_failure_monitor(feed.stream(), ["case_id"], "ts", "1 hour", "1 hour")
+        return jobs.run_available(stream, f"{tmp_path}/out", f"{tmp_path}/log")
+
+    feed.send([("a", "R1", 4, True, "2026-01-01T00:00:00")])
+    run()
+    feed.send([("a", "R1", 3, True, "2026-01-01T00:40:00")])
+    feed.send([("b", "R1", 1, False, "2026-01-03T00:00:00")])
+    run()
+    assert [(r.case_id, r.first_failure_turn) for r in spark.read.parquet(f"{tmp_path}/out").collect()] == [("a", 3)]
+
+
+def test_alerts_need_no_state(spark, feed, tmp_path):
+    out, keys = f"{tmp_path}/out", ["case_id", "rule_id"]
+    feed.send([("a", "R1", 5, True, "2026-01-01T00:00:00"), ("a", "R2", 1, False, "2026-01-01T00:00:00")])
+    feed.send([("a", "R1", 3, True, "2020-01-01T00:00:00"), ("b", "R1", None, True, "2026-01-01T00:00:00")])
+    query = jobs.run_available(feed.stream(), out, f"{tmp_path}/log", write=jobs.alert_writer(out, keys))
+    got = {(r.case_id, r.rule_id): r.first_failure_turn for r in jobs.standing_alerts(spark, out, keys).collect()}
+    assert got == {("a", "R1"): 3, ("b", "R1"): None}
+    assert set(jobs.state_rows(query)) == {0}
