@@ -17,6 +17,7 @@ from holdfast.functions import fixed_values as fx
 from holdfast.functions import labels as lb
 from holdfast.functions import text as tx
 from holdfast.operators import context as cx
+from holdfast.operators import sampling as sm
 from holdfast.operators.common import first_n_per_key, first_per_key, literal_rows
 
 
@@ -101,40 +102,73 @@ def design_rule_sets(designs: DataFrame, variants: DataFrame) -> DataFrame:
     return rows.withColumn("rule_count", known)
 
 
-def sampled_rule_sets(designs: DataFrame, variants: DataFrame, samples: int = 10) -> DataFrame:
-    """Up to ``samples`` rule sets per design and rule count, in hash order of the seed.
+def sampled_rule_sets(
+    designs: DataFrame, rule_ids: Sequence[str], rule_counts: Sequence[int] = tuple(fx.RULE_COUNTS), samples: int = 10,
+) -> DataFrame:
+    """Up to ``samples`` rule sets per design and rule count, drawn by number.
 
-    Keeps sampled and possible ordinals and totals.  A group never exceeds the number
-    of combinations of one target and rule count.
+    Combinations are numbered in dictionary order.  The first ``samples`` places of a
+    permutation keyed by (seed, target, count, samples) are the numbers drawn, and only
+    these combinations are built, so the cost does not depend on how many there are.
+    Where all fit, all come in their own order.  A target outside the pool is an error.
     """
-    rows = design_rule_sets(designs, variants).withColumn(
-        "_key",
-        lb.sampling_key("seed", "target_rule_id", "rule_count", F.lit(samples), F.array_join("filler_rule_ids", ",")),
+    ids = _sorted_rules(rule_ids)
+    pool, fillers = F.lit(ids), len(ids) - 1
+    totals = {k: math.comb(fillers, k - 1) for k in rule_counts if 1 <= k <= len(ids)}
+    most = max(totals, default=1) - 1
+    sizes = F.array(
+        *[F.struct(F.lit(k).alias("k"), F.lit(n).cast("long").alias("n")) for k, n in totals.items() if n]
+    )
+    known = F.array_contains(pool, F.col("target_rule_id"))
+    checked = designs.withColumn(
+        "target_rule_id",
+        F.when(known, F.col("target_rule_id")).otherwise(
+            F.raise_error(F.concat(F.lit("target rule is not in the pool: "), F.coalesce("target_rule_id", F.lit("null"))))
+        ),
+    )
+    rows = checked.withColumn("_size", F.explode(sizes)).withColumns(
+        {"rule_count": F.col("_size.k"), "possible_count": F.col("_size.n")}
+    )
+    rows = rows.withColumn("sampled_count", F.least("possible_count", F.lit(samples))).withColumn(
+        "_keys", sm.round_keys("seed", "target_rule_id", "rule_count", F.lit(samples))
     )
-    picked = first_n_per_key(
-        rows, ["design_id", "rule_count"], [F.col("_key")], samples, "sampled_ordinal"
+    rows = rows.withColumn("sampled_ordinal", F.explode(F.sequence(F.lit(1), F.col("sampled_count").cast("int"))))
+    place = F.col("sampled_ordinal") - 1
+    drawn = F.when(F.col("possible_count") <= samples, place.cast("long")).otherwise(
+        sm.permuted(place, F.col("possible_count"), F.col("_keys"))
     )
-    return picked.withColumns(
+    others = F.filter(pool, lambda r: r != F.col("target_rule_id"))
+    rows = rows.withColumn("possible_ordinal", drawn + 1).withColumn("_others", others).withColumn(
+        "_bits", sm.combination(F.col("possible_ordinal") - 1, fillers, F.col("rule_count") - 1, most)
+    )
+    rows = rows.withColumn("filler_rule_ids", F.transform("_bits", lambda i: F.get(F.col("_others"), i)))
+    return rows.withColumns(
         {
+            "active_rule_ids": F.filter(
+                pool, lambda r: (r == F.col("target_rule_id")) | F.array_contains("filler_rule_ids", r)
+            ),
             "sampled_variant_id": F.format_string("RC%d_S%03d", "rule_count", "sampled_ordinal"),
             "possible_variant_id": F.format_string("RC%d_P%03d", "rule_count", "possible_ordinal"),
-            "sampled_count": F.least("possible_count", F.lit(samples)),
+            "samples_per_rule_count": F.lit(samples),
         }
-    ).drop("_key")
+    ).drop("_size", "_keys", "_others", "_bits")
 
 
 # --- conversations ---------------------------------------------------------------------
 
 
-def shuffled_pool(pool: Sequence[str], *seed: Column | str) -> Column:
-    """The benign prompts in an order fixed by the seed columns; each row sorts the whole pool."""
-    keyed = F.array(
-        *[
-            F.struct(lb.sampling_key(*seed, F.lit(i)).alias("k"), F.lit(p).alias("p"))
-            for i, p in enumerate(pool)
-        ]
+def benign_turns(cases: DataFrame, pool: DataFrame, size: int, *seed: str) -> DataFrame:
+    """Benign turns (case columns, turn, content) from a pool table, in an order of each case's own.
+
+    ``pool`` has ``place`` (0 .. size-1) and ``content``.  Turn t takes the place of t - 1 in
+    the case's permutation, starting over after ``size`` turns: a join on a computed key,
+    whatever the size of the pool.
+    """
+    rows = cases.withColumn("_keys", sm.round_keys(*seed)).withColumn(
+        "turn", F.explode(F.sequence(F.lit(1), F.col("turn_count").cast("int")))
     )
-    return F.transform(F.array_sort(keyed), lambda e: e["p"])
+    place = sm.permuted(F.pmod(F.col("turn") - 1, F.lit(size)), F.lit(size), F.col("_keys"))
+    return rows.withColumn("place", place).drop("_keys").join(pool.select("place", "content"), "place", "left").drop("place")
 
 
 def _turn(
@@ -149,29 +183,29 @@ def _turn(
 
 
 def conversation(
-    turn_count: Column | str, shuffled: Column | str, attacks: Column | str, target: Column | str
+    turn_count: Column | str, pool: Sequence[str], keys: Column | str, attacks: Column | str, target: Column | str
 ) -> Column:
     """Benign turns, then the attacks: one if T = 1, the last two if T >= 3.
 
     ``attacks`` is ``array<struct<mode, prompt_id, prompt_text>>`` in turn order and
-    empty for a benign case.  An attacked T = 2 is an error.
+    empty for a benign case.  An attacked T = 2 is an error.  Benign turns follow the
+    permutation of the pool that ``keys`` (``sampling.round_keys``) fix; no row sorts it.
     """
     turns, target = tx.col(turn_count), tx.col(target)
-    parts = F.struct(tx.col(shuffled).alias("pool"), tx.col(attacks).alias("attacks"))
+    texts, size = F.lit(list(pool)), F.lit(len(pool))
+    parts = F.struct(tx.col(keys).alias("keys"), tx.col(attacks).alias("attacks"))
 
     def build(b: Column) -> Column:
         n_attacks = F.size(b["attacks"])
 
         def step(t: Column) -> Column:
             attack = F.get(b["attacks"], t - (turns - n_attacks) - 1)
+            benign = F.get(texts, sm.permuted(F.pmod(t - 1, size), size, b["keys"]).cast("int"))
             return F.when(
                 t > turns - n_attacks,
                 _turn(t, attack["prompt_text"], attack["mode"], target, attack["prompt_id"], F.lit(True)),
             ).otherwise(
-                _turn(
-                    t, F.get(b["pool"], F.pmod(t - 1, F.size(b["pool"]))), F.lit("benign"), target,
-                    F.lit(None).cast("string"), F.lit(False),
-                )
+                _turn(t, benign, F.lit("benign"), target, F.lit(None).cast("string"), F.lit(False))
             )
 
         wrong = (n_attacks > 0) & ((turns == 2) | (n_attacks != F.least(turns, F.lit(2))))
@@ -258,7 +292,7 @@ def with_balanced_conversation(cases: DataFrame, lookup: DataFrame, pool: Sequen
         ),
     )
     template = conversation(
-        "turn_count", shuffled_pool(pool, "seed", "case_number"), attacks, "target_rule_id"
+        "turn_count", pool, sm.round_keys("seed", "case_number"), attacks, "target_rule_id"
     )
     return rows.withColumn("conversation_template", template).drop("prompts")
 
@@ -325,12 +359,12 @@ def with_sampled_conversation(cases: DataFrame, lookup: DataFrame, pool: Sequenc
             F.col("prompts")[m]["prompt_text"].alias("prompt_text"),
         ),
     )
-    shuffled = shuffled_pool(
-        pool, "seed", "target_rule_id", "rule_count", "sampled_variant_id", "turn_count", "attack_order_variant"
+    keys = sm.round_keys(
+        "seed", "target_rule_id", "rule_count", "sampled_variant_id", "turn_count", "attack_order_variant"
     )
     return rows.withColumns(
         {
-            "conversation_template": conversation("turn_count", shuffled, attacks, "target_rule_id"),
+            "conversation_template": conversation("turn_count", pool, keys, attacks, "target_rule_id"),
             "source_scenario_ids": F.transform(attacks, lambda a: a["prompt_id"]),
         }
     ).drop("prompts")

@@ -9,6 +9,7 @@ from holdfast.functions import text as tx
 from holdfast.operators import context as cx
 from holdfast.operators import design as ds
 from holdfast.operators import prep
+from holdfast.operators import sampling as sm
 from holdfast.operators import profiles as pf
 from holdfast.operators import transform_report as tr
 from holdfast.operators.common import rounded
@@ -59,15 +60,19 @@ def rule_set_variants(spark, sf):
 
 
 SAMPLED_SQL = f"""{VARIANTS_SQL},
-keyed AS (SELECT *, sha256(concat_ws('::', seed, target_rule_id, rule_count, 10, array_to_string(fillers, ','))) AS k FROM sets),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY design_id, rule_count ORDER BY k) AS sampled_ordinal FROM keyed),
+wanted AS (SELECT *, {tb.keys_sql("seed", "target_rule_id", "rule_count", "10")} AS ks
+  FROM (SELECT DISTINCT design_id, seed, target_rule_id, rule_count, possible_count FROM sets)),
+drawn AS (SELECT *, unnest(range(1, least(possible_count, 10) + 1)) AS sampled_ordinal FROM wanted),
+numbered AS (SELECT design_id, rule_count, sampled_ordinal, CASE WHEN possible_count <= 10 THEN sampled_ordinal
+    ELSE 1 + {tb.permuted_sql("sampled_ordinal - 1", "possible_count", "ks")} END AS possible_ordinal FROM drawn),
 picked AS (SELECT *, printf('RC%d_S%03d', rule_count, sampled_ordinal) AS sampled_variant_id,
-    printf('RC%d_P%03d', rule_count, possible_ordinal) AS possible_variant_id FROM ranked WHERE sampled_ordinal <= 10)
+    printf('RC%d_P%03d', rule_count, possible_ordinal) AS possible_variant_id
+  FROM sets JOIN numbered USING (design_id, rule_count, possible_ordinal))
 """
 
 
 def _sampled(spark, sf):
-    return ds.sampled_rule_sets(designs(spark, sf), ds.rule_set_variants(spark, SEVEN), 10)
+    return ds.sampled_rule_sets(designs(spark, sf), SEVEN, samples=10)
 
 
 @query(
@@ -148,20 +153,14 @@ def balanced_case_matrix(spark, sf):
     )
 
 
-BENIGN_SQL = f"""
-pool AS (SELECT CAST(i AS BIGINT) AS i, {POOL_LIST}[CAST(i + 1 AS INTEGER)] AS p FROM (SELECT unnest(range(0, {len(POOL)})) AS i))
-"""
-
-
 @query(
     "balanced_conversation_turns",
-    f"""WITH {BALANCED_SQL}, {BENIGN_SQL},
-    shuf AS (SELECT design_id, case_number, list(p ORDER BY sha256(concat_ws('::', seed, case_number, i))) AS ps FROM bal, pool GROUP BY 1, 2),
-    t AS (SELECT b.*, ps, unnest(range(1, turn_count + 1)) AS turn FROM bal b JOIN shuf USING (design_id, case_number)),
+    f"""WITH {BALANCED_SQL},
+    t AS (SELECT *, unnest(range(1, turn_count + 1)) AS turn FROM (SELECT *, {tb.keys_sql("seed", "case_number")} AS ks FROM bal)),
     x AS (SELECT *, CASE WHEN a = 0 THEN 0 WHEN turn_count = 1 THEN 2 WHEN turn = turn_count - 1 THEN 1 WHEN turn = turn_count THEN 2 ELSE 0 END AS lv FROM t)
     SELECT design_id || '_' || printf('%05d', case_number) AS case_id, CAST(turn AS INTEGER) AS turn,
       CASE lv WHEN 0 THEN 'benign' WHEN 1 THEN 'implicit_attack' ELSE 'strong_pressure' END AS attack_mode,
-      CASE WHEN lv = 0 THEN ps[CAST((turn - 1) % {len(POOL)} + 1 AS INTEGER)] ELSE prompt_text END AS content,
+      CASE WHEN lv = 0 THEN {POOL_LIST}[CAST(1 + {tb.permuted_sql(f"(turn - 1) % {len(POOL)}", str(len(POOL)), "ks")} AS INTEGER)] ELSE prompt_text END AS content,
       CASE WHEN lv = 0 THEN '' ELSE x.target_rule_id END AS attack_targets, CASE WHEN lv > 0 THEN prompt_id END AS prompt_id
     FROM x LEFT JOIN prompts p ON p.rule_id = x.target_rule_id AND p.level = lv""",
 )
@@ -174,6 +173,54 @@ def balanced_conversation_turns(spark, sf):
     )
 
 
+@query(
+    "benign_turn_schedule",
+    f"""WITH c AS (SELECT o_orderkey AS case_id, [1, 5, 10, 15][CAST(1 + o_orderkey % 4 AS INTEGER)] AS turn_count,
+      {tb.keys_sql("o_custkey", "o_orderkey")} AS ks FROM orders),
+    t AS (SELECT *, unnest(range(1, turn_count + 1)) AS turn, (SELECT count(*) FROM part) AS n FROM c),
+    x AS (SELECT case_id, CAST(turn AS INTEGER) AS turn, {tb.permuted_sql("(turn - 1) % n", "n", "ks")} AS place FROM t)
+    SELECT case_id, turn, p_name AS content FROM x JOIN part ON p_partkey = place""",
+)
+def benign_turn_schedule(spark, sf):
+    """Every order as a case, all parts as its pool."""
+    key = F.col("o_orderkey")
+    cases = tb.table(spark, sf, "orders").select(
+        key.alias("case_id"), "o_custkey", F.element_at(F.lit(fx.TURN_COUNTS), (key % 4).cast("int") + 1).alias("turn_count")
+    )
+    pool = tb.table(spark, sf, "part").select(F.col("p_partkey").alias("place"), F.col("p_name").alias("content"))
+    return ds.benign_turns(cases, pool, pool.count(), "o_custkey", "case_id").select("case_id", "turn", "content")
+
+
+LARGE_POOL = [f"X{i:02d}" for i in range(1, 41)]
+
+
+@query(
+    "sampled_large_rule_sets",
+    f"""WITH d AS (SELECT s_suppkey AS design_id, s_suppkey AS seed, 'X' || printf('%02d', 1 + s_suppkey % 40) AS target_rule_id FROM supplier),
+    k AS (SELECT *, {tb.keys_sql("seed", "target_rule_id", "7", "10")} AS ks FROM d),
+    r AS (SELECT *, unnest(range(1, 11)) AS sampled_ordinal FROM k)
+    SELECT design_id, sampled_ordinal::INTEGER AS sampled_ordinal, 1 + {tb.permuted_sql("sampled_ordinal - 1", "3262623", "ks")} AS possible_ordinal,
+      3262623::BIGINT AS possible_count, 1 + {tb.permuted_sql("sampled_ordinal - 1", "3262623", "ks")} AS number_of_set, 7 AS rules FROM r""",
+)
+def sampled_large_rule_sets(spark, sf):
+    """Ten of 3,262,623 rule sets for each design; ``number_of_set`` is counted back from the rules."""
+    key = F.col("s_suppkey")
+    made = tb.table(spark, sf, "supplier").select(
+        key.alias("design_id"), key.alias("seed"), F.element_at(F.lit(LARGE_POOL), (key % 40).cast("int") + 1).alias("target_rule_id")
+    )
+    rows = ds.sampled_rule_sets(made, LARGE_POOL, [7], 10)
+    others = F.filter(F.lit(LARGE_POOL), lambda r: r != F.col("target_rule_id"))
+    places = F.transform("filler_rule_ids", lambda r: F.array_position(others, r).cast("int") - 1)
+    # Combinations that come later in dictionary order, summed over the places.
+    later = F.aggregate(
+        F.transform(places, lambda p, i: sm.binomial_of(38 - p, 6 - i, 39, 6)), F.lit(0).cast("long"), lambda a, c: a + c
+    )
+    return rows.select(
+        "design_id", "sampled_ordinal", "possible_ordinal", "possible_count", (F.col("possible_count") - later).alias("number_of_set"),
+        F.size("active_rule_ids").alias("rules"),
+    )
+
+
 @query(
     "balanced_case_counts",
     f"""WITH {BALANCED_SQL}, c AS (SELECT CAST(rule_count AS VARCHAR) AS rule_count, CAST(turn_count AS VARCHAR) AS turn_count,
@@ -232,18 +279,17 @@ def _full_sampled(spark, sf):
 
 @query(
     "sampled_case_trace",
-    f"""WITH {ORDERED_SQL}, {PROMPTS_SQL}, {BENIGN_SQL},
-    shuf AS (SELECT grp, attack_order_variant, list(p ORDER BY sha256(concat_ws('::', seed, target_rule_id, rule_count, sampled_variant_id,
-        turn_count, attack_order_variant, i))) AS ps FROM samp2, pool GROUP BY 1, 2)
+    f"""WITH {ORDERED_SQL}, {PROMPTS_SQL},
+    keyed AS (SELECT *, {tb.keys_sql("seed", "target_rule_id", "rule_count", "sampled_variant_id", "turn_count", "attack_order_variant")} AS ks FROM samp2)
     SELECT s.grp || '_' || s.attack_order_variant AS case_id, replace(attack_order, ',', '|') AS attack_order,
       array_to_string(active, '|') AS rule_set_variant, turn_count AS conversation_turn_count,
       CAST(CASE WHEN condition = 'benign_context' THEN 0 WHEN turn_count = 1 THEN 1 ELSE 2 END AS INTEGER) AS attack_turn_count,
-      CASE WHEN condition = 'benign_context' OR turn_count > 1 THEN ps[1] ELSE CASE attack_order WHEN 'implicit_attack' THEN p1.prompt_text ELSE p2.prompt_text END END AS turn_01_content,
+      CASE WHEN condition = 'benign_context' OR turn_count > 1 THEN {POOL_LIST}[CAST(1 + {tb.permuted_sql("0", str(len(POOL)), "ks")} AS INTEGER)] ELSE CASE attack_order WHEN 'implicit_attack' THEN p1.prompt_text ELSE p2.prompt_text END END AS turn_01_content,
       CASE WHEN turn_count < 5 THEN '' WHEN turn_count > 5 OR condition = 'benign_context' THEN 'benign' ELSE split_part(attack_order, ',', 2) END AS turn_05_attack_mode,
       CASE WHEN turn_count = 15 AND condition = 'injection_context' THEN target_rule_id ELSE '' END AS turn_14_attack_targets,
       CASE WHEN condition = 'benign_context' THEN '' ELSE concat_ws('|', CASE split_part(attack_order, ',', 1) WHEN 'implicit_attack' THEN p1.prompt_id ELSE p2.prompt_id END,
         CASE split_part(attack_order, ',', 2) WHEN 'implicit_attack' THEN p1.prompt_id WHEN 'adversarial_attack' THEN p2.prompt_id END) END AS source_scenario_ids
-    FROM samp2 s JOIN shuf USING (grp, attack_order_variant) JOIN prompts p1 ON p1.rule_id = target_rule_id AND p1.level = 1
+    FROM keyed s JOIN prompts p1 ON p1.rule_id = target_rule_id AND p1.level = 1
       JOIN prompts p2 ON p2.rule_id = target_rule_id AND p2.level = 2""",
 )
 def sampled_case_trace(spark, sf):

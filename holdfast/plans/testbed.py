@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from holdfast.functions import labels as lb
 from holdfast.operators import cells as ce
+from holdfast.operators import sampling as sm
 
 RULE_IDS = [f"R0{n}" for n in range(1, 8)]
 RULE_TYPES = {
@@ -350,3 +351,22 @@ text_cells AS (
   WHERE ((t.i - r.case_id % 7) % 7 + 7) % 7 < r.rule_count)
 """
 
+
+
+# --- keyed permutations --------------------------------------------------------------------
+
+
+def keys_sql(*parts: str) -> str:
+    """SQL list of a permutation's round keys for seed parts given as SQL."""
+    digests = [f"sha256(concat_ws('::', {', '.join(parts)}, {i}))" for i in range(-(-sm.ROUNDS // sm.ROUNDS_PER_DIGEST))]
+    places = [(r // sm.ROUNDS_PER_DIGEST, sm.HEX_DIGITS * (r % sm.ROUNDS_PER_DIGEST) + 1) for r in range(sm.ROUNDS)]
+    return "[" + ", ".join(f"CAST('0x' || substr({digests[d]}, {at}, {sm.HEX_DIGITS}) AS BIGINT)" for d, at in places) + "]"
+
+
+def permuted_sql(index: str, size: str, keys: str) -> str:
+    """SQL of ``sampling.permuted`` with ``keys`` a list column."""
+    other = f"(((k - x) % {size} + {size}) % {size})"
+    mixed = f"(xor(greatest(x, {other}) % {sm.PRIMES[0]}, k) & {sm.MASK})"
+    for factor, prime in zip(sm.FACTORS, sm.PRIMES[1:], strict=True):
+        mixed = f"({mixed} * {factor} % {prime})"
+    return f"list_reduce([CAST({index} AS BIGINT)] || {keys}, lambda x, k: CASE WHEN {mixed} % 2 = 1 THEN {other} ELSE x END)"
