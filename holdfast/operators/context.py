@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from holdfast.functions import fixed_values as fx
@@ -165,18 +165,89 @@ def apply_variants(
     return out
 
 
+def joined_token_count(
+    parts: DataFrame, keys: Sequence[str], order: Sequence[str], text: str = "content", separator: str = " ",
+    counter: tx.TokenCounter = tx.token_count, edge: int = 1, block: int = 4096, name: str = "tokens",
+) -> DataFrame:
+    """Tokens of every key's parts joined in order, without joining them.
+
+    The count of a joined text is the sum over its parts plus what changes where two parts
+    meet: a token may go over the seam, or the separator makes tokens.  A part is summed
+    up as (head, tokens, tail) with ``edge`` characters at either end, which must be
+    enough to decide a seam (one is, for counters of character runs).  Summaries merge in
+    order: the parts inside a block of the first order column, then the blocks.  Empty
+    parts only add their separators.  Null texts are no parts.
+
+    ``order`` columns are unique per key and the first is a whole number; a task holds
+    short summaries of one block at most.
+    """
+    parts = parts.filter(F.col(text).isNotNull())
+    body = F.col(text)
+    rows = parts.select(
+        *keys, *[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)],
+        F.coalesce(F.floor(F.col(order[0]) / block), F.lit(-(2**62))).alias("_block"), counter(body).cast("long").alias("_tokens"),
+        F.nullif(F.left(body, F.lit(edge)), F.lit("")).alias("_head"), F.nullif(F.right(body, F.lit(edge)), F.lit("")).alias("_tail"),
+    )
+
+    def seam(before: Column, gaps: Column, after: Column) -> Column:
+        """How the count changes when two texts meet over some separators; either may be missing."""
+        left, right = F.coalesce(before, F.lit("")), F.coalesce(after, F.lit(""))
+        between = F.repeat(F.lit(separator), gaps.cast("int"))
+        return (counter(F.concat(left, between, right)) - counter(left) - counter(right)).cast("long")
+
+    def merged(rows: DataFrame, group: Sequence[str], by: Sequence[str]) -> DataFrame:
+        """One summary per group from rows with _tokens, _head, _tail, and _lead / _trail / _n parts around them."""
+        line = Window.partitionBy(*group).orderBy(*by)
+        earlier = line.rowsBetween(Window.unboundedPreceding, -1)
+        full = F.col("_head").isNotNull()
+        first = F.sum("_n").over(earlier)
+        placed = rows.withColumn("_from", F.coalesce(first, F.lit(0)))
+        placed = placed.withColumns(
+            {
+                "_at": F.col("_from") + F.col("_lead"), "_end": F.col("_from") + F.col("_n") - F.col("_trail"),
+            }
+        ).withColumns(
+            {
+                "_before": F.last(F.when(full, F.col("_tail")), True).over(earlier),
+                "_before_end": F.last(F.when(full, F.col("_end")), True).over(earlier),
+            }
+        )
+        met = F.when(
+            full & F.col("_before").isNotNull(), seam(F.col("_before"), F.col("_at") - F.col("_before_end") + 1, F.col("_head"))
+        ).otherwise(F.lit(0))
+        return placed.withColumn("_tokens", F.col("_tokens") + met).groupBy(*group).agg(
+            F.sum("_tokens").alias("_tokens"), F.sum("_n").alias("_n"),
+            F.min_by("_head", F.when(full, F.col("_at"))).alias("_head"), F.max_by("_tail", F.when(full, F.col("_end"))).alias("_tail"),
+            F.coalesce(F.min(F.when(full, F.col("_at"))), F.sum("_n")).alias("_lead"),
+            F.coalesce(F.sum("_n") - F.max(F.when(full, F.col("_end"))), F.lit(0)).alias("_trail"),
+        )
+
+    empty = F.col("_head").isNull().cast("long")
+    single = rows.withColumns({"_n": F.lit(1).cast("long"), "_lead": empty, "_trail": F.lit(0).cast("long")})
+    blocks = merged(single, [*keys, "_block"], [f"_o{i}" for i in range(len(order))])
+    whole = merged(blocks, keys, ["_block"])
+    outer = F.when(
+        F.col("_head").isNull(), counter(F.repeat(F.lit(separator), (F.col("_n") - 1).cast("int")))
+    ).otherwise(
+        seam(F.lit(None).cast("string"), F.col("_lead"), F.col("_head")) + seam(F.col("_tail"), F.col("_trail"), F.lit(None).cast("string"))
+    )
+    return whole.select(*keys, (F.col("_tokens") + outer).cast("long").alias(name))
+
+
 def size_change(
-    original: DataFrame, transformed: DataFrame, counter: tx.TokenCounter = tx.token_count
+    original: DataFrame, transformed: DataFrame, counter: tx.TokenCounter = tx.token_count, separator: str = " ",
 ) -> DataFrame:
     """Token counts before and after per transformed case, with the rounded ratio.
 
-    No tokens before means 0, 0 and 1.0.
+    Counts are those of the turns joined with ``separator``.  No tokens before means 0, 0
+    and 1.0.
     """
-    before = original.groupBy(F.col("case_id").alias("original_case_id")).agg(
-        F.sum(counter(F.col("content"))).cast("long").alias("original_token_count")
-    )
-    after = transformed.groupBy("original_case_id", "variant").agg(
-        F.sum(counter(F.col("content"))).cast("long").alias("compressed_token_count")
+    before = joined_token_count(
+        original, ["case_id"], ["turn"], separator=separator, counter=counter, name="original_token_count"
+    ).withColumnRenamed("case_id", "original_case_id")
+    after = joined_token_count(
+        transformed, ["original_case_id", "variant"], ["turn", "slot"], separator=separator, counter=counter,
+        name="compressed_token_count",
     )
     joined = after.join(before, "original_case_id", "left")
     total = F.coalesce(F.col("original_token_count"), F.lit(0))

@@ -646,11 +646,13 @@ def task_cases(
 ) -> DataFrame:
     """Conversation x rule level (0 = no rules) for task accuracy.
 
-    Criteria join by the conversation's own source id.  Turns stay in their table;
-    their token total is a map-side combined sum.
+    Criteria join by the conversation's own source id.  Turns stay in their table; their
+    tokens are those of the lines joined by line ends.
     """
     line = F.concat(F.col("role"), F.lit(": "), F.col("content"))
-    tokens = turns.groupBy("conversation_id").agg(F.sum(counter(line)).cast("long").alias("turns_tokens"))
+    tokens = cx.joined_token_count(
+        turns.withColumn("_line", line), ["conversation_id"], ["turn"], "_line", "\n", counter, name="turns_tokens"
+    )
     asked = conversations.filter(~tx.is_blank("target_question"))
     rows = asked.join(tokens, "conversation_id", "left").join(criteria, "source_id", "left")
     rows = rows.withColumn("rule_count_level", literal_rows([0, *prompts]))

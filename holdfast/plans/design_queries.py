@@ -661,14 +661,26 @@ def summarized_turns(spark, sf):
     return out.select("case_id", "turn", "role", F.md5("content").alias("content_md5"))
 
 
+@query(
+    "joined_token_totals",
+    f"""WITH {TURNS_SQL}, j AS (SELECT case_id, string_agg(content, '' ORDER BY turn) AS a, string_agg(content, ' - ' ORDER BY turn) AS b FROM t GROUP BY 1)
+    SELECT case_id, {count_sql('a', TOKENS)}::BIGINT AS unbroken, {count_sql('b', TOKENS)}::BIGINT AS dashed FROM j""",
+)
+def joined_token_totals(spark, sf):
+    """Tokens of whole conversations run together and joined by dashes; tokens cross the turns' ends."""
+    turns = context_turns(spark, sf)
+    unbroken = cx.joined_token_count(turns, ["case_id"], ["turn"], separator="", name="unbroken")
+    return unbroken.join(cx.joined_token_count(turns, ["case_id"], ["turn"], separator=" - ", name="dashed"), "case_id")
+
+
 @query(
     "transform_size_changes",
     f"""WITH {TURNS_SQL}, {PRUNE_SQL}, {REMIND_SQL}, {SUMMARY_SQL},
-    b AS (SELECT case_id, sum({count_sql('content', TOKENS)})::BIGINT AS o FROM t GROUP BY 1),
+    b AS (SELECT case_id, {count_sql('content', TOKENS)}::BIGINT AS o FROM (SELECT case_id, string_agg(content, ' ' ORDER BY turn) AS content FROM t GROUP BY 1)),
     a AS (SELECT case_id, 'sliding_window_3' AS variant, content FROM (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY turn DESC) <= 3)
       UNION ALL SELECT case_id, 'selective_context_050', new_content FROM pruned
       UNION ALL SELECT case_id, 'reinforce_2', content FROM r UNION ALL SELECT case_id, 'summarize_turns', content FROM sm),
-    g AS (SELECT case_id, variant, sum({count_sql('content', TOKENS)})::BIGINT AS c FROM a GROUP BY 1, 2)
+    g AS (SELECT case_id, variant, {count_sql('content', TOKENS)}::BIGINT AS c FROM (SELECT case_id, variant, string_agg(content, ' ') AS content FROM a GROUP BY 1, 2))
     SELECT case_id AS original_case_id, variant, o AS original_token_count, c AS compressed_token_count, round(c / o, 4) AS compression_ratio
     FROM g JOIN b USING (case_id)""",
 )

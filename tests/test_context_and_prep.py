@@ -1,3 +1,6 @@
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -148,3 +151,29 @@ def test_scenario_probe_takes_the_last_user_message(spark):
 def test_nested_turns(spark):
     df = spark.createDataFrame([([("user", "a"), ("system", "b"), ("assistant", "")],)], "c array<struct<role:string,content:string>>")
     assert [m["content"] for m in df.select(prep.nested_turns("c").alias("x")).collect()[0].x] == ["a"]
+
+
+def plain_tokens(text):
+    return len(re.findall(r"\w+|[^\w\s]", text))
+
+
+@pytest.mark.parametrize("separator", [" ", "", "\n", "-", " x ", "ab"])
+@pytest.mark.parametrize("block", [1, 3, 4096])
+def test_tokens_of_joined_text_without_joining(spark, separator, block):
+    draw = random.Random(5)
+    pieces = ["", "", "a", "ab cd", " ", "...", "x-", "-y", " z", "가나", "1", "\n", "end."]
+    cases = {f"c{i}": [draw.choice(pieces) for _ in range(draw.choice([1, 2, 3, 7, 20]))] for i in range(60)}
+    cases |= {"empty": ["", "", ""], "run": ["ab"] * 30, "one": [""], "gap": ["", "", "x", "", "", "y", ""]}
+    rows = [(c, 2 * t - 5, s) for c, texts in cases.items() for t, s in enumerate(texts)] + [("run", 1000, None)]
+    df = spark.createDataFrame(rows, "case_id string, turn int, content string").repartition(5)
+    got = {r.case_id: r.tokens for r in cx.joined_token_count(df, ["case_id"], ["turn"], separator=separator, block=block).collect()}
+    assert got == {c: plain_tokens(separator.join(texts)) for c, texts in cases.items()}
+
+
+def test_joined_tokens_keep_texts_where_they_are(spark):
+    df = spark.createDataFrame([("a", 1, "long text " * 50)], "case_id string, turn int, content string")
+    plan = cx.joined_token_count(df, ["case_id"], ["turn"])._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "Window" in plan
+    for line in plan.splitlines():
+        if "Exchange" in line or "Window" in line:
+            assert "content" not in line
