@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from holdfast import schemas as sc
 from holdfast.operators import cells as ce
+from holdfast.sources import json_array as ja
 from holdfast.sources import readers as rd
 from holdfast.sources import writers as wr
 
@@ -127,3 +128,46 @@ def test_enriched_variant_and_summary_sinks(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "v").glob("variant=*")) == ["variant=v1", "variant=v2"]
     wr.write_summary(spark, f"{tmp_path}/s", rows.agg(F.count("*").alias("records")), {"definition": "x"})
     assert spark.read.json(f"{tmp_path}/s").collect()[0].asDict() == {"records": 2, "definition": "x"}
+
+
+TRICKY = ['plain', 'a } b', '{', '}}}', 'quote " and }', 'back\\slash', 'ends with \\', '\\"}', 'two\nlines', '[1, {', '한글 } 😊', '', '\\\\" }']
+
+
+def chats(n):
+    return [
+        {"id": f"c{i}", "conversations": [{"from": "human", "value": TRICKY[(i + k) % len(TRICKY)] * (1 + k)} for k in range(i % 5)]}
+        for i in range(n)
+    ]
+
+
+@pytest.mark.parametrize("indent", [None, 2])
+@pytest.mark.parametrize("size", [37, 4096, 10**9])
+def test_one_json_array_is_read_by_many_tasks(spark, tmp_path, indent, size):
+    rows = chats(200)
+    (tmp_path / "chat.json").write_text("﻿" * (size == 4096) + json.dumps(rows, indent=indent, ensure_ascii=bool(indent)) + "\n", encoding="utf-8")
+    (tmp_path / "none.json").write_text("[]", encoding="utf-8")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", 1)
+    try:
+        paths = [f"{tmp_path}/chat.json", f"{tmp_path}/none.json"]
+        got = ja.read_json_array(spark, paths, sc.CHAT_EXPORT).orderBy("element").collect()
+        splits = spark.read.option("lineSep", "}").text(paths[:1]).select(F.spark_partition_id()).distinct().count()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert [r.element for r in got] == list(range(200)) and all(r._corrupt_record is None for r in got)
+    assert [{"id": r.id, "conversations": [t.asDict(True) for t in r.conversations]} for r in got] == rows
+    assert splits > 1
+
+
+def test_split_array_equals_the_whole_file_reader(spark, tmp_path):
+    path = write(tmp_path / "chat.json", [json.dumps(chats(50))])
+    split = ja.read_json_array(spark, path, sc.CHAT_EXPORT).select("id", "conversations")
+    assert sorted(map(str, split.collect())) == sorted(map(str, rd.read_chat_export(spark, path).collect()))
+
+
+def test_broken_elements_are_kept(spark, tmp_path):
+    path = write(tmp_path / "chat.json", ['[{"id": "a", "conversations": []}, {"id": b}, {"id": "c"}, {"id": "cut off", "conv'])
+    got = {r.element: (r.id, r._corrupt_record) for r in ja.read_json_array(spark, path, sc.CHAT_EXPORT).collect()}
+    assert got[0] == ("a", None) and got[2] == ("c", None)
+    assert got[1][1] == '{"id": b}' and got[3][1].startswith('{"id": "cut off"')
