@@ -49,19 +49,48 @@ def char_count(r: Column, rule: Mapping[str, Column]) -> Column:
     return outcome(passed, "auto_char_count", detail)
 
 
+def pattern_scorer(known: Sequence[str] = ()) -> Scorer:
+    """The pattern rule; patterns in ``known`` are compiled once for all rows.
+
+    Any other pattern is compiled when it differs from the row's before, so rows sorted by
+    pattern compile each once.
+    """
+
+    def found(r: Column, expression: Column) -> Column:
+        # Only the newline ends a line for ``$`` and ``^``.
+        out = F.regexp_instr(r, F.concat(F.lit("(?d)"), expression)) > 0
+        for text in reversed(list(known)):
+            out = F.when(expression == text, F.rlike(r, F.lit("(?d)" + text))).otherwise(out)
+        return out
+
+    def scored(r: Column, rule: Mapping[str, Column]) -> Column:
+        expression = F.coalesce(rule["pattern"], F.lit(""))
+        negate = F.coalesce(rule["negate"], F.lit(False))
+
+        def judge(match: Column) -> Column:
+            detail = F.concat(
+                F.lit("pattern='"), expression, F.lit("', match="), F.initcap(match.cast("string")),
+                F.lit(", negate="), F.initcap(negate.cast("string")),
+            )
+            return outcome(match != negate, "auto_regex", detail)
+
+        return tx.bind(found(r, expression), judge)
+
+    return scored
+
+
 def pattern(r: Column, rule: Mapping[str, Column]) -> Column:
-    expression = F.coalesce(rule["pattern"], F.lit(""))
-    negate = F.coalesce(rule["negate"], F.lit(False))
+    return pattern_scorer()(r, rule)
 
-    def judge(match: Column) -> Column:
-        detail = F.concat(
-            F.lit("pattern='"), expression, F.lit("', match="), F.initcap(match.cast("string")),
-            F.lit(", negate="), F.initcap(negate.cast("string")),
-        )
-        return outcome(match != negate, "auto_regex", detail)
 
-    # Only the newline ends a line for ``$`` and ``^``.
-    return tx.bind(F.regexp_like(r, F.concat(F.lit("(?d)"), expression)), judge)
+def patterns_in(responses: DataFrame, rules: str = "rules", limit: int = 200) -> list[str]:
+    """The distinct patterns of the rules, if there are at most ``limit``; else none.
+
+    The list is bounded; with more patterns rows are scored by the pattern column itself.
+    """
+    listed = responses.select(F.explode(F.array_distinct(F.transform(rules, lambda r: r["pattern"]))).alias("p"))
+    rows = listed.filter(F.col("p").isNotNull()).distinct().limit(limit + 1).collect()
+    return sorted(r.p for r in rows) if len(rows) <= limit else []
 
 
 def prefix(r: Column, rule: Mapping[str, Column]) -> Column:
@@ -166,13 +195,13 @@ def _unknown_method(scoring: Column) -> Column:
     )
 
 
-def rule_outcome(response: Column | str, fields: Mapping[str, Column]) -> Column:
+def rule_outcome(response: Column | str, fields: Mapping[str, Column], patterns: Sequence[str] = ()) -> Column:
     """Outcome under a rule whose scoring method is itself a column."""
     response = tx.col(response)
     scoring = F.coalesce(fields["scoring"], F.lit("llm_judge"))
     chain = None
     for name, scorer in _SCORERS.items():
-        scored = scorer(response, fields)
+        scored = (pattern_scorer(patterns) if scorer is pattern and patterns else scorer)(response, fields)
         chain = F.when(scoring == name, scored) if chain is None else chain.when(scoring == name, scored)
     return chain.otherwise(_unknown_method(scoring))
 
@@ -197,12 +226,17 @@ def rules_literal(rules: Sequence[Mapping[str, object]]) -> Column:
     )
 
 
-def score_cells(responses: DataFrame, response: str = "response", rules: str = "rules") -> DataFrame:
-    """responses x their own rules -> cells; ``score_index`` is the rule's position."""
+def score_cells(
+    responses: DataFrame, response: str = "response", rules: str = "rules", patterns: Sequence[str] = ()
+) -> DataFrame:
+    """responses x their own rules -> cells; ``score_index`` is the rule's position.
+
+    ``patterns`` (see ``patterns_in``) are regular expressions to be compiled once.
+    """
     keep = [c for c in responses.columns if c not in (response, rules)]
     exploded = responses.select(*keep, response, F.posexplode(rules).alias("score_index", "_rule"))
     fields = {name: F.col(f"_rule.{name}") for name, _ in RULE_FIELDS}
-    return exploded.withColumn("_scored", rule_outcome(response, fields)).select(
+    return exploded.withColumn("_scored", rule_outcome(response, fields, patterns)).select(
         *keep, "score_index", F.coalesce("_rule.rule_id", F.lit("unknown")).alias("rule_id"), "_scored.*"
     )
 

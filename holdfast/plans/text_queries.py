@@ -534,7 +534,7 @@ def rule_dispatch_from_table(spark, sf):
         ]
     )
     rows = tb.responses(spark, sf).withColumn("rules", F.array_compact(listed))
-    return rl.score_cells(rows).select("case_id", "turn", "rule_id", "pass", "method")
+    return rl.score_cells(rows, patterns=rl.patterns_in(rows)).select("case_id", "turn", "rule_id", "pass", "method")
 
 
 TEXT_TURNS_SQL = f"""{tb.RESPONSES_SQL},

@@ -70,7 +70,7 @@ def good_rows(rows: DataFrame) -> DataFrame:
 
 
 def quarantined(rows: DataFrame) -> DataFrame:
-    """Lines that did not parse."""
+    """Lines that did not parse, of stored rows (``write_with_summary``): a scan of JSON cannot give these alone."""
     return rows.filter(F.col(CORRUPT).isNotNull()).select(CORRUPT)
 
 
@@ -123,12 +123,12 @@ def read_text_table(
     """CSV with a header, all columns text, nulls as empty text.
 
     Large files are split over tasks; cells that hold line breaks need ``multi_line``,
-    which makes one task of each file.  A byte-order mark on the first header name is removed; missing required columns
+    which makes one task of each file; without it such a cell is an error, not a torn row.  A byte-order mark on the first header name is removed; missing required columns
     are an error.
     """
     rows = (
         spark.read.option("header", True).option("inferSchema", False).option("multiLine", multi_line)
-        .option("escape", '"').csv(paths)
+        .option("escape", '"').option("mode", "PERMISSIVE" if multi_line else "FAILFAST").csv(paths)
     )
     rows = rows.toDF(*[c.lstrip("﻿") for c in rows.columns])
     missing = sorted(set(required) - set(rows.columns))
@@ -141,17 +141,17 @@ def _is(column: str, value: str) -> Column:
     return F.lower(strip(column)) == value
 
 
-def read_attack_prompts(spark: SparkSession, path: str) -> DataFrame:
+def read_attack_prompts(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Curated attack prompts without the rows marked invalid; ``level`` is an int."""
-    rows = read_text_table(spark, path, sc.PROMPT_COLUMNS, multi_line=True)
+    rows = read_text_table(spark, path, sc.PROMPT_COLUMNS, multi_line)
     return rows.filter(~_is("is_valid_prompt", "no")).withColumn(
         "level", F.col("attack_strength_level").try_cast("int")
     )
 
 
-def read_scenarios(spark: SparkSession, path: str) -> DataFrame:
+def read_scenarios(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Single-turn scenarios marked for use, with the rule set as an array."""
-    rows = read_text_table(spark, path, sc.SCENARIO_COLUMNS, multi_line=True)
+    rows = read_text_table(spark, path, sc.SCENARIO_COLUMNS, multi_line)
     used = rows.filter(~_is("is_valid_prompt", "no") & _is("use_for_frontier_q2", "yes"))
     return used.withColumn(
         "rule_ids",
@@ -160,8 +160,7 @@ def read_scenarios(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_chat_export(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of conversations.  One such file is one task by its format, so
-    large corpora should be split over many files or stored as JSON lines."""
+    """Small JSON arrays of conversations, a task for each file; ``json_array.read_json_array`` splits large ones."""
     return spark.read.schema(sc.CHAT_EXPORT).option("multiLine", True).json(path)
 
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from holdfast.sources.readers import matching_paths
+from holdfast.sources.readers import CORRUPT, matching_paths
 
 
 def write_enriched(records: DataFrame, path: str, partition_by: Sequence[str] = ("model", "temperature")) -> None:
@@ -41,6 +41,39 @@ def write_summary(spark: SparkSession, path: str, counts: DataFrame, texts: Mapp
     ).json(path)
 
 
+def write_counted(
+    table: DataFrame, counts: Mapping[str, Column], write: Callable[[DataFrame], None],
+    kept: Callable[[DataFrame], DataFrame] = lambda rows: rows,
+) -> dict[str, object]:
+    """Write ``kept(table)`` and return aggregates over ``table`` observed in the same pass.
+
+    ``counts`` see every row before ``kept`` filters it, so read, quarantined and kept rows
+    are known without another scan.
+    """
+    seen = Observation()
+    write(kept(table.observe(seen, *[c.alias(n) for n, c in counts.items()])))
+    return dict(seen.get)
+
+
+def write_with_summary(
+    rows: DataFrame, path: str, summary_path: str, texts: Mapping[str, str], counts: Mapping[str, Column] | None = None,
+) -> dict[str, object]:
+    """Parsed lines as Parquet, and one JSON object with the counters of that pass and fixed texts.
+
+    Lines that did not parse go to ``<path>/quarantined=true`` of the same pass and the
+    others to ``quarantined=false``; ``counts`` are further aggregates over all lines.
+    """
+    broken = F.col(CORRUPT).isNotNull()
+    every = {"lines": F.count(F.lit(1)), "quarantined_lines": F.count_if(broken), **(counts or {})}
+    marked = rows.withColumn("quarantined", broken)
+    seen = write_counted(
+        marked, every, lambda df: df.write.mode("errorifexists").partitionBy("quarantined").parquet(path)
+    )
+    values = rows.sparkSession.range(1).select(*[F.lit(v).alias(k) for k, v in seen.items()])
+    write_summary(rows.sparkSession, summary_path, values, texts)
+    return seen
+
+
 VERSION = "version="
 
 

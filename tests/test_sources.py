@@ -63,7 +63,9 @@ def test_attack_prompt_csv_with_mark_quotes_and_newlines(spark, tmp_path):
     cells = ["p1", "final", "R01", "c", "1", "n", "s", "single_rule", '"한국어, ""인용"" 줄\n둘"', "t", "f", "a", "yes", ""]
     skipped = ["p2", "final", "R01", "c", "2", "n", "s", "single_rule", "x", "t", "f", "a", " NO ", ""]
     path = write(tmp_path / "p.csv", ["﻿" + header, ",".join(cells), ",".join(skipped)])
-    got = rd.read_attack_prompts(spark, path).collect()
+    with pytest.raises(Exception, match="(?i)malformed"):
+        rd.read_attack_prompts(spark, path).collect()
+    got = rd.read_attack_prompts(spark, path, multi_line=True).collect()
     assert [r.prompt_id for r in got] == ["p1"] and got[0].level == 1
     assert got[0].prompt_text == '한국어, "인용" 줄\n둘' and got[0].notes == ""
     with pytest.raises(ValueError, match="missing required columns"):
