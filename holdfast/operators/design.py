@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 
 from holdfast.functions import fixed_values as fx
 from holdfast.functions import labels as lb
+from holdfast.functions import rules as rl
 from holdfast.functions import text as tx
 from holdfast.operators import context as cx
+from holdfast.operators import prep
 from holdfast.operators import sampling as sm
 from holdfast.operators.common import first_n_per_key, first_per_key, literal_rows
 
@@ -171,14 +173,18 @@ def benign_turns(cases: DataFrame, pool: DataFrame, size: int, *seed: str) -> Da
     return rows.withColumn("place", place).drop("_keys").join(pool.select("place", "content"), "place", "left").drop("place")
 
 
-def _turn(
-    number: Column, content: Column, mode: Column, target: Column, prompt_id: Column, attacked: Column
-) -> Column:
+ATTACK = "struct<mode:string,prompt_id:string,prompt_text:string,attack_type:string,scenario_id:string>"
+
+
+def _turn(number: Column, content: Column, target: Column, attack: Column | None = None) -> Column:
     nothing = F.array().cast("array<string>")
+    text = F.lit(None).cast("string")
+    fields = {n: text if attack is None else attack[n] for n in ("prompt_id", "attack_type", "scenario_id")}
     return F.struct(
         number.alias("turn"), F.lit("user").alias("role"), content.alias("content"),
-        F.when(attacked, F.array(target)).otherwise(nothing).alias("attack_targets"),
-        mode.alias("attack_mode"), F.when(attacked, prompt_id).alias("prompt_id"),
+        (nothing if attack is None else F.array(target)).alias("attack_targets"),
+        (F.lit("benign") if attack is None else attack["mode"]).alias("attack_mode"),
+        *[c.alias(n) for n, c in fields.items()],
     )
 
 
@@ -187,8 +193,8 @@ def conversation(
 ) -> Column:
     """Benign turns, then the attacks: one if T = 1, the last two if T >= 3.
 
-    ``attacks`` is ``array<struct<mode, prompt_id, prompt_text>>`` in turn order and
-    empty for a benign case.  An attacked T = 2 is an error.  Benign turns follow the
+    ``attacks`` is ``array<struct<mode, prompt_id, prompt_text, attack_type, scenario_id>>``
+    in turn order and empty for a benign case.  An attacked T = 2 is an error.  Benign turns follow the
     permutation of the pool that ``keys`` (``sampling.round_keys``) fix; no row sorts it.
     """
     turns, target = tx.col(turn_count), tx.col(target)
@@ -201,11 +207,8 @@ def conversation(
         def step(t: Column) -> Column:
             attack = F.get(b["attacks"], t - (turns - n_attacks) - 1)
             benign = F.get(texts, sm.permuted(F.pmod(t - 1, size), size, b["keys"]).cast("int"))
-            return F.when(
-                t > turns - n_attacks,
-                _turn(t, attack["prompt_text"], attack["mode"], target, attack["prompt_id"], F.lit(True)),
-            ).otherwise(
-                _turn(t, benign, F.lit("benign"), target, F.lit(None).cast("string"), F.lit(False))
+            return F.when(t > turns - n_attacks, _turn(t, attack["prompt_text"], target, attack)).otherwise(
+                _turn(t, benign, target)
             )
 
         wrong = (n_attacks > 0) & ((turns == 2) | (n_attacks != F.least(turns, F.lit(2))))
@@ -288,7 +291,8 @@ def with_balanced_conversation(cases: DataFrame, lookup: DataFrame, pool: Sequen
         "attack_levels",
         lambda lv: F.struct(
             modes[lv].alias("mode"), F.col("prompts")[lv]["prompt_id"].alias("prompt_id"),
-            F.col("prompts")[lv]["prompt_text"].alias("prompt_text"),
+            F.col("prompts")[lv]["prompt_text"].alias("prompt_text"), F.lit(None).cast("string").alias("attack_type"),
+            F.lit(None).cast("string").alias("scenario_id"),
         ),
     )
     template = conversation(
@@ -356,7 +360,8 @@ def with_sampled_conversation(cases: DataFrame, lookup: DataFrame, pool: Sequenc
         "attack_order",
         lambda m: F.struct(
             m.alias("mode"), F.col("prompts")[m]["prompt_id"].alias("prompt_id"),
-            F.col("prompts")[m]["prompt_text"].alias("prompt_text"),
+            F.col("prompts")[m]["prompt_text"].alias("prompt_text"), m.alias("attack_type"),
+            F.col("prompts")[m]["prompt_id"].alias("scenario_id"),
         ),
     )
     keys = sm.round_keys(
@@ -480,38 +485,83 @@ def size_violations(cases: DataFrame, expected: int, design: str = "design_id")
 
 # --- trace table ------------------------------------------------------------------------------
 
-TRACE_TURN_FIELDS = ["turn", "role", "attack_mode", "attack_targets", "prompt_id", "content"]
+def trace_columns(max_turns: int = 15) -> list[str]:
+    """All columns of the wide trace table, in order."""
+    return [*fx.TRACE_FIELDS, *[f"turn_{i + 1:02d}_{f}" for i in range(max_turns) for f in fx.TRACE_TURN_FIELDS]]
 
 
 def trace_rows(cases: DataFrame, max_turns: int = 15) -> DataFrame:
-    """One wide provenance row per case: scalar columns, joined lists, JSON cells, turns."""
-    # Turns beyond the wide columns are an error, not a loss.
+    """One wide provenance row per complete case: base columns, joined lists, JSON cells, turns.
+
+    Lists become cells joined by ``|`` and JSON cells, missing values empty text.  A case
+    with more turns than the table has columns is an error, not a loss.
+    """
     fits = F.when(F.size("conversation_template") <= max_turns, F.col("conversation_template")).otherwise(
         F.raise_error(F.lit(f"a case has more than {max_turns} turns"))
     )
     cases = cases.withColumn("conversation_template", fits)
-    listed = ["attack_order", "rule_set_variant", "filler_rule_ids", "source_scenario_ids"]
-    scalars = [
-        n for n, t in cases.dtypes
-        if not t.startswith(("array", "map", "struct")) and not n.startswith("_")
-    ]
-    columns = [F.col(s) for s in scalars]
-    for name in (n for n in listed if n in cases.columns):
-        columns += [F.array_join(name, "|").alias(name), F.to_json(name).alias(f"{name}_json")]
     template = F.col("conversation_template")
-    columns += [
-        F.size(template).alias("conversation_turn_count"),
-        F.size(F.filter(template, lambda t: F.size(t["attack_targets"]) > 0)).alias("attack_turn_count"),
-        F.to_json(template).alias("conversation_template_json"),
-    ]
+    made = {
+        "conversation_turn_count": F.size(template),
+        "attack_turn_count": F.size(F.filter(template, lambda t: F.size(t["attack_targets"]) > 0)),
+        "conversation_template_json": F.to_json(template),
+        "active_rule_ids": F.array_join("rule_set_variant", "|"),
+        "active_rule_ids_json": F.to_json("rule_set_variant"),
+    }
+    if "rules" in cases.columns:
+        pairs = F.transform("rules", lambda r: F.struct(r["rule_id"].alias("key"), r["text"].alias("value")))
+        made |= {"rules_json": F.to_json("rules"), "rule_texts_by_id_json": F.to_json(F.map_from_entries(pairs))}
+    for name in ("attack_order", "filler_rule_ids", "source_scenario_ids"):
+        made |= {name: F.array_join(name, "|"), f"{name}_json": F.to_json(name)}
+    for name in ("filler_category_composition", "active_category_composition"):
+        if name in cases.columns:
+            made[f"{name}_json"] = F.to_json(name)
+    columns = []
+    for name in fx.TRACE_FIELDS:
+        value = made.get(name, F.col(name) if name in cases.columns else F.lit(""))
+        columns.append(value.alias(name) if name.endswith("_count") else F.coalesce(value.cast("string"), F.lit("")).alias(name))
     for i in range(max_turns):
-        for field in TRACE_TURN_FIELDS:
+        for field in fx.TRACE_TURN_FIELDS:
             value = F.get(template, F.lit(i))[field]
             value = F.array_join(value, "|") if field == "attack_targets" else value.cast("string")
             columns.append(F.coalesce(value, F.lit("")).alias(f"turn_{i + 1:02d}_{field}"))
     return cases.select(*columns)
 
 
+def complete_cases(
+    cases: DataFrame, rules: Sequence[Mapping[str, object]], head: str, tail: str, constants: Mapping[str, str] | None = None,
+    injection_mode: str = "controlled_final2_escalation",
+) -> DataFrame:
+    """Cases as a runner takes them: prompt, rules, compositions, attack fields, sampling totals.
+
+    ``rules`` are the pool's rules (a short list with ``rule_id``, ``type``, ``text`` and
+    scoring fields).  The prompt is ``head``, the active rules' numbered texts and ``tail``.
+    ``constants`` are fixed columns of the design, such as its version.
+    """
+    pool = rl.rules_literal(rules)
+    types = {str(r["rule_id"]): str(r["type"]) for r in rules}
+    active = F.transform(
+        "rule_set_variant", lambda r: F.element_at(F.filter(pool, lambda x: x["rule_id"] == r), 1)
+    )
+    target = F.element_at(F.filter(pool, lambda x: x["rule_id"] == F.col("target_rule_id")), 1)
+    attacked = F.col("condition") != "benign_context"
+    none = F.array().cast("array<string>")
+    out = cases.withColumn("rules", active).withColumns(
+        {
+            "system_prompt": prep.numbered_prompt("rules", head, tail),
+            "target_rule_category": target["type"], "target_rule_text": target["text"],
+            "filler_category_composition": composition("filler_rule_ids", types),
+            "active_category_composition": composition("rule_set_variant", types),
+            "attack_mode": F.when(attacked, F.lit(injection_mode)).otherwise(F.lit("none")),
+            "attack_scope": F.when(attacked, F.lit("single_rule")).otherwise(F.lit("none")),
+            "attack_targets": F.when(attacked, F.array("target_rule_id")).otherwise(none),
+            **{name: F.lit(value) for name, value in (constants or {}).items()},
+        }
+    )
+    renamed = {"seed": "sampling_seed", "possible_count": "possible_combination_count", "sampled_count": "sampled_combination_count"}
+    return out.withColumnsRenamed({old: new for old, new in renamed.items() if old in out.columns})
+
+
 # --- request plan ---------------------------------------------------------------------------------
 
 

@@ -11,6 +11,7 @@ from holdfast.functions import fixed_values as fx
 from holdfast.functions import labels as lb
 from holdfast.functions import rules as rl
 from holdfast.functions import text as tx
+from holdfast.operators.records import latest_per_key
 
 LABEL_COLUMNS = {
     "targeted_rule_success": "human_target_rule_pass",
@@ -134,3 +135,29 @@ def usage_diagnostics(responses: DataFrame) -> DataFrame:
 def usage_value(*names: str) -> Column:
     """First present usage field, e.g. prompt_tokens or input_tokens."""
     return F.coalesce(*[F.col(f"usage.{n}") for n in names])
+
+
+def label_export(records: DataFrame, order: str = "ingest_ord") -> DataFrame:
+    """The sheet that people label: the latest record of every request, all cells as text.
+
+    Absent columns and values are empty cells, and the label cells are empty.  Records
+    without a request id are left out.
+    """
+    known = records.filter(F.coalesce(F.col("request_id"), F.lit("")) != "")
+    rows = latest_per_key(known, ["request_id"], order)
+
+    def cell(name: str) -> Column:
+        return F.coalesce(F.col(name).cast("string"), F.lit("")) if name in rows.columns else F.lit("")
+
+    usage = next((f.dataType.names for f in rows.schema if f.name == "usage"), [])
+
+    def used(names: list[str]) -> Column:
+        there = [n for n in names if n in usage]
+        return F.coalesce(usage_value(*there).cast("string"), F.lit("")) if there else F.lit("")
+
+    return rows.select(
+        *[cell(source).alias(name) for name, source in fx.LABEL_EXPORT.items()],
+        *[used(names).alias(name) for name, names in fx.LABEL_USAGE.items()],
+        *[F.lit("").alias(name) for name in fx.LABEL_EMPTY],
+        *[cell(source).alias(name) for name, source in fx.LABEL_HASHES.items()],
+    )

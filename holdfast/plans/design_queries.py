@@ -277,43 +277,136 @@ def _full_sampled(spark, sf):
     return ds.with_sampled_conversation(_sampled_cases(spark, sf), _mode_lookup(spark, sf), POOL)
 
 
+RULE_TABLE = [
+    {"rule_id": r, "type": tb.RULE_TYPES[r], "text": f"Rule {r}: keep to {tb.RULE_TYPES[r]}.", "scoring": "llm_judge"} for r in SEVEN
+]
+PROMPT_HEAD, PROMPT_TAIL = "Follow these rules:\n\n", "\n\nThey hold for every turn."
+DESIGN = {"design_version": "sampled_v1", "research_question": "Q1", "source_attack_prompt_file": "benchmark"}
+KINDS = sorted(fx.RULE_TYPES)
+
+
+def _composition_sql(rules: str) -> str:
+    kinds = f"list_transform({rules}, lambda x: {KIND_SQL})"
+    parts = [
+        f"CASE WHEN list_contains({kinds}, '{n}') THEN '\"{n}\":' || len(list_filter({kinds}, lambda y: y = '{n}')) END" for n in KINDS
+    ]
+    return f"'{{' || concat_ws(',', {', '.join(parts)}) || '}}'"
+
+
+TEXT_SQL = f"'Rule ' || {{x}} || ': keep to ' || {KIND_SQL.replace('x[2:]', '{x}[2:]')} || '.'"
+COMPLETE_SQL = f"""{ORDERED_SQL}, {PROMPTS_SQL},
+keyed AS (SELECT *, {tb.keys_sql("seed", "target_rule_id", "rule_count", "sampled_variant_id", "turn_count", "attack_order_variant")} AS ks,
+    string_split(attack_order, ',') AS os, condition = 'injection_context' AS inj FROM samp2),
+full_ AS (SELECT s.*, {TEXT_SQL.format(x="target_rule_id")} AS target_rule_text, {_composition_sql("fillers")} AS fc, {_composition_sql("active")} AS ac,
+    'Follow these rules:' || chr(10) || chr(10) || array_to_string(list_transform(active, lambda x, i: i || '. ' || {TEXT_SQL.format(x="x")}), chr(10))
+      || chr(10) || chr(10) || 'They hold for every turn.' AS system_prompt,
+    CASE WHEN inj THEN list_transform(os, lambda m: CASE m WHEN 'implicit_attack' THEN p1.prompt_id ELSE p2.prompt_id END) ELSE []::VARCHAR[] END AS ids,
+    CASE WHEN inj THEN list_transform(os, lambda m: CASE m WHEN 'implicit_attack' THEN p1.prompt_text ELSE p2.prompt_text END) ELSE []::VARCHAR[] END AS texts,
+    CASE WHEN NOT inj THEN 0 WHEN turn_count = 1 THEN 1 ELSE 2 END AS na
+  FROM keyed s JOIN prompts p1 ON p1.rule_id = target_rule_id AND p1.level = 1 JOIN prompts p2 ON p2.rule_id = target_rule_id AND p2.level = 2)
+"""
+
+
+def _turn_sql(i: int) -> list[str]:
+    """The eight cells of turn ``i`` (from 1)."""
+    at = f"CAST({i} - (turn_count - na) AS INTEGER)"
+    benign = f"{POOL_LIST}[CAST(1 + {tb.permuted_sql(f'{(i - 1) % len(POOL)}', str(len(POOL)), 'ks')} AS INTEGER)]"
+    cells = {
+        "turn": f"'{i}'", "role": "'user'", "attack_mode": f"CASE WHEN {at} > 0 THEN os[{at}] ELSE 'benign' END",
+        "attack_type": f"CASE WHEN {at} > 0 THEN os[{at}] ELSE '' END", "attack_targets": f"CASE WHEN {at} > 0 THEN target_rule_id ELSE '' END",
+        "scenario_id": f"CASE WHEN {at} > 0 THEN ids[{at}] ELSE '' END", "prompt_id": f"CASE WHEN {at} > 0 THEN ids[{at}] ELSE '' END",
+        "content": f"CASE WHEN {at} > 0 THEN texts[{at}] ELSE {benign} END",
+    }
+    return [f"CASE WHEN {i} > turn_count THEN '' ELSE {cells[f]} END AS turn_{i:02d}_{f}" for f in fx.TRACE_TURN_FIELDS]
+
+
+def _json_sql(items: str) -> str:
+    return f"'[' || array_to_string(list_transform({items}, lambda x: '\"' || x || '\"'), ',') || ']'"
+
+
+TRACE_SQL = {
+    "case_id": "grp || '_' || attack_order_variant", "design_version": "'sampled_v1'", "research_question": "'Q1'",
+    "system_prompt_profile": "''", "q2_profile_caveat": "''", "condition": "condition", "rule_count": "rule_count",
+    "turn_count": "turn_count", "conversation_turn_count": "turn_count", "target_rule_id": "target_rule_id",
+    "target_rule_category": KIND_SQL.replace("x[2:]", "target_rule_id[2:]"), "target_rule_text": "target_rule_text",
+    "attack_intensity": "CASE WHEN inj THEN 'adversarial' ELSE 'benign' END", "attack_mode": "CASE WHEN inj THEN 'order_balanced' ELSE 'none' END",
+    "attack_scope": "CASE WHEN inj THEN 'single_rule' ELSE 'none' END", "attack_turn_count": "CAST(na AS INTEGER)",
+    "attack_order_variant": "attack_order_variant", "attack_order": "replace(attack_order, ',', '|')",
+    "attack_order_json": f"CASE WHEN inj THEN {_json_sql('os')} ELSE '[]' END", "order_average_group_id": "CASE WHEN inj THEN grp ELSE '' END",
+    "sampled_variant_id": "sampled_variant_id", "possible_variant_id": "possible_variant_id", "sampling_seed": "seed",
+    "samples_per_rule_count": "10", "possible_combination_count": "possible_count", "sampled_combination_count": "least(possible_count, 10)",
+    "active_rule_ids": "array_to_string(active, '|')", "active_rule_ids_json": _json_sql("active"),
+    "filler_rule_ids": "array_to_string(fillers, '|')", "filler_rule_ids_json": _json_sql("fillers"),
+    "filler_category_composition_json": "fc", "active_category_composition_json": "ac", "source_attack_prompt_file": "'benchmark'",
+    "source_scenario_ids": "array_to_string(ids, '|')", "source_scenario_ids_json": _json_sql("ids"), "single_turn_attack_policy": "'both'",
+    "schedule": "CASE WHEN NOT inj THEN 'all benign' WHEN turn_count = 1 THEN attack_order_variant ELSE 'B×' || (turn_count - 2) || ',' || attack_order END",
+    "system_prompt": "system_prompt",
+    "rule_texts_by_id_json": f"'{{' || array_to_string(list_transform(active, lambda x: '\"' || x || '\":\"' || {TEXT_SQL.format(x='x')} || '\"'), ',') || '}}'",
+}
+
+
+def _complete(spark, sf):
+    return ds.complete_cases(_full_sampled(spark, sf), RULE_TABLE, PROMPT_HEAD, PROMPT_TAIL, DESIGN, "order_balanced")
+
+
 @query(
     "sampled_case_trace",
-    f"""WITH {ORDERED_SQL}, {PROMPTS_SQL},
-    keyed AS (SELECT *, {tb.keys_sql("seed", "target_rule_id", "rule_count", "sampled_variant_id", "turn_count", "attack_order_variant")} AS ks FROM samp2)
-    SELECT s.grp || '_' || s.attack_order_variant AS case_id, replace(attack_order, ',', '|') AS attack_order,
-      array_to_string(active, '|') AS rule_set_variant, turn_count AS conversation_turn_count,
-      CAST(CASE WHEN condition = 'benign_context' THEN 0 WHEN turn_count = 1 THEN 1 ELSE 2 END AS INTEGER) AS attack_turn_count,
-      CASE WHEN condition = 'benign_context' OR turn_count > 1 THEN {POOL_LIST}[CAST(1 + {tb.permuted_sql("0", str(len(POOL)), "ks")} AS INTEGER)] ELSE CASE attack_order WHEN 'implicit_attack' THEN p1.prompt_text ELSE p2.prompt_text END END AS turn_01_content,
-      CASE WHEN turn_count < 5 THEN '' WHEN turn_count > 5 OR condition = 'benign_context' THEN 'benign' ELSE split_part(attack_order, ',', 2) END AS turn_05_attack_mode,
-      CASE WHEN turn_count = 15 AND condition = 'injection_context' THEN target_rule_id ELSE '' END AS turn_14_attack_targets,
-      CASE WHEN condition = 'benign_context' THEN '' ELSE concat_ws('|', CASE split_part(attack_order, ',', 1) WHEN 'implicit_attack' THEN p1.prompt_id ELSE p2.prompt_id END,
-        CASE split_part(attack_order, ',', 2) WHEN 'implicit_attack' THEN p1.prompt_id WHEN 'adversarial_attack' THEN p2.prompt_id END) END AS source_scenario_ids
-    FROM keyed s JOIN prompts p1 ON p1.rule_id = target_rule_id AND p1.level = 1
-      JOIN prompts p2 ON p2.rule_id = target_rule_id AND p2.level = 2""",
+    f"WITH {COMPLETE_SQL} SELECT " + ", ".join(f"{v} AS {k}" for k, v in TRACE_SQL.items()) + ", "
+    + ", ".join(c for i in range(1, 16) for c in _turn_sql(i)) + " FROM full_",
 )
 def sampled_case_trace(spark, sf):
-    return ds.trace_rows(_full_sampled(spark, sf)).select(
-        "case_id", "attack_order", "rule_set_variant", "conversation_turn_count", "attack_turn_count", "turn_01_content",
-        "turn_05_attack_mode", "turn_14_attack_targets", "source_scenario_ids",
+    """Every base column and all eight cells of all fifteen turns; two JSON columns are held to a round trip in the tests."""
+    return ds.trace_rows(_complete(spark, sf)).drop("rules_json", "conversation_template_json")
+
+
+@query(
+    "complete_case_matrix",
+    f"""WITH {COMPLETE_SQL} SELECT grp || '_' || attack_order_variant AS case_id, md5(system_prompt) AS prompt_md5,
+      array_to_string(list_transform(active, lambda x: {TEXT_SQL.format(x='x')}), '|') AS rule_texts, fc AS fillers, ac AS active,
+      CASE WHEN inj THEN target_rule_id ELSE '' END AS attack_targets, seed AS sampling_seed, possible_count AS possible_combination_count,
+      least(possible_count, 10) AS sampled_combination_count
+    FROM full_""",
+)
+def complete_case_matrix(spark, sf):
+    return _complete(spark, sf).select(
+        "case_id", F.md5(F.encode("system_prompt", "utf-8")).alias("prompt_md5"),
+        F.array_join(F.transform("rules", lambda r: r["text"]), "|").alias("rule_texts"),
+        F.to_json("filler_category_composition").alias("fillers"), F.to_json("active_category_composition").alias("active"),
+        F.array_join("attack_targets", "|").alias("attack_targets"), "sampling_seed", "possible_combination_count",
+        F.col("sampled_combination_count").cast("long").alias("sampled_combination_count"),
     )
 
 
 @query(
     "case_violations",
-    f"""WITH {ORDERED_SQL}, c AS (SELECT grp || '_' || attack_order_variant AS case_id, turn_count, condition FROM samp2)
+    f"""WITH {ORDERED_SQL}, c0 AS (SELECT grp || '_' || attack_order_variant AS case_id, turn_count, condition, rule_count, target_rule_id, attack_order FROM samp2),
+    c AS (SELECT * FROM c0 UNION ALL SELECT * FROM c0 WHERE turn_count = 1)
     SELECT case_id, unnest(['rule count differs from rule set', 'wrong filler count']) AS violation FROM c WHERE turn_count = 5
     UNION ALL SELECT case_id, 'wrong number of turns' FROM c WHERE turn_count = 10
     UNION ALL SELECT case_id, 'benign case with attacks' FROM c WHERE turn_count = 15 AND condition = 'injection_context'
-    UNION ALL SELECT case_id, 'duplicate case id' FROM c WHERE turn_count = 1""",
+    UNION ALL SELECT case_id, 'attack turns differ from order' FROM c WHERE turn_count = 10 AND condition = 'injection_context' AND rule_count = 7
+    UNION ALL SELECT case_id, 'target is a filler' FROM c WHERE turn_count = 1 AND rule_count = 3
+    UNION ALL SELECT case_id, 'target not in rule set' FROM c WHERE turn_count = 1 AND rule_count = 5
+    UNION ALL SELECT case_id, 'duplicate case id' FROM c0 WHERE turn_count = 1""",
 )
 def case_violations(spark, sf):
-    """Generated cases keep every rule of the design; here each kind of turn count is broken in one way."""
-    turns = F.col("turn_count")
+    """Generated cases keep every rule of the design; here each kind of check is broken on some cases."""
+    turns, rules, target = F.col("turn_count"), F.col("rule_count"), F.array("target_rule_id")
     cases = _full_sampled(spark, sf)
-    broken = cases.withColumn("rule_count", F.col("rule_count") + F.when(turns == 5, 1).otherwise(0)).withColumn(
-        "condition", F.when(turns == 15, F.lit("benign_context")).otherwise(F.col("condition"))
-    ).withColumn("turn_count", F.when(turns == 10, 11).otherwise(turns))
+    broken = cases.withColumns(
+        {
+            "rule_count": rules + F.when(turns == 5, 1).otherwise(0),
+            "condition": F.when(turns == 15, F.lit("benign_context")).otherwise(F.col("condition")),
+            "turn_count": F.when(turns == 10, 11).otherwise(turns),
+            "attack_order": F.when((turns == 10) & (rules == 7), F.reverse("attack_order")).otherwise(F.col("attack_order")),
+            "filler_rule_ids": F.when((turns == 1) & (rules == 3), F.concat(F.slice("filler_rule_ids", 1, 1), target)).otherwise(
+                F.col("filler_rule_ids")
+            ),
+            "rule_set_variant": F.when(
+                (turns == 1) & (rules == 5), F.concat(F.array_except("rule_set_variant", target), F.array(F.lit("R99")))
+            ).otherwise(F.col("rule_set_variant")),
+        }
+    )
     return ds.case_violations(broken.unionByName(broken.filter(F.col("turn_count") == 1)))
 
 
@@ -331,11 +424,13 @@ def unknown_targets(spark, sf):
 
 @query(
     "design_size_violations",
-    f"WITH {ORDERED_SQL} SELECT design_id, count(*) AS cases FROM samp2 GROUP BY 1 HAVING count(*) <> 264",
+    f"WITH {ORDERED_SQL} SELECT design_id, count(*) AS cases FROM samp2 WHERE design_id % 4 > 0 OR turn_count < 15 GROUP BY 1 HAVING count(*) <> 264",
 )
 def design_size_violations(spark, sf):
+    """Every fourth design has lost its longest cases."""
     expected = ds.expected_case_count(7, 10, "both")
-    return ds.size_violations(_sampled_cases(spark, sf), expected)
+    cases = _sampled_cases(spark, sf).filter((F.col("design_id") % 4 > 0) | (F.col("turn_count") < 15))
+    return ds.size_violations(cases, expected)
 
 
 @query(

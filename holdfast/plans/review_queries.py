@@ -949,3 +949,43 @@ def usage_fallbacks(spark, sf):
     )
     rows = tb.table(spark, sf, "orders").select(key, usage.alias("usage"))
     return rows.select(key, rv.usage_value("prompt_tokens", "input_tokens").alias("usage_prompt_tokens"))
+
+
+LABEL_ROWS_SQL = """
+lr AS (SELECT o_orderkey // 2 AS k, o_orderkey AS ingest_ord, o_custkey, o_orderstatus, o_orderpriority, o_totalprice FROM orders),
+lx AS (SELECT * FROM lr WHERE k % 100 <> 3 QUALIFY row_number() OVER (PARTITION BY k ORDER BY ingest_ord DESC) = 1)
+"""
+
+
+@query(
+    "label_export",
+    f"""WITH {LABEL_ROWS_SQL} SELECT 'r' || k AS request_id, o_orderpriority AS model_name, 's' || (k % 9) AS scenario_id, '' AS research_question,
+      '' AS system_prompt_profile, '' AS turn_count, '' AS system_rule_set, CASE WHEN k % 7 > 0 THEN 'R0' || (k % 7) ELSE '' END AS target_rule_id,
+      '' AS target_rule_category, '' AS target_rule_text, '' AS attack_type, '' AS attack_scope, '512' AS max_tokens, '0.5' AS temperature,
+      '' AS system_prompt, 'ask ' || ingest_ord AS input, CASE WHEN o_orderstatus = 'F' THEN '' ELSE 'said ' || o_custkey END AS output,
+      o_orderstatus AS finish_reason, '' AS http_status,
+      CASE k % 3 WHEN 0 THEN CAST(o_custkey AS VARCHAR) WHEN 1 THEN CAST(o_custkey * 2 AS VARCHAR) ELSE '' END AS usage_prompt_tokens,
+      CASE WHEN k % 3 < 2 THEN CAST(o_custkey * 3 AS VARCHAR) ELSE '' END AS usage_completion_tokens, '' AS usage_total_tokens,
+      '' AS human_target_rule_pass, '' AS human_perfect_success, '' AS human_non_target_failure, '' AS human_notes,
+      '' AS system_prompt_sha256, sha256('ask ' || ingest_ord) AS input_sha256 FROM lx""",
+)
+def label_export(spark, sf):
+    """The labelling sheet of request records that were sent up to twice."""
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    k = F.floor(key / 2)
+    ask = F.concat(F.lit("ask "), key.cast("string"))
+    usage = F.when(
+        k % 3 < 2,
+        F.struct(
+            F.when(k % 3 == 0, cust).alias("prompt_tokens"), (cust * 2).alias("input_tokens"), (cust * 3).alias("output_tokens"),
+        ),
+    )
+    rows = tb.table(spark, sf, "orders").select(
+        F.when(k % 100 != 3, F.concat(F.lit("r"), k.cast("string"))).alias("request_id"), F.col("o_orderpriority").alias("target_model"),
+        F.concat(F.lit("s"), (k % 9).cast("string")).alias("scenario_id"),
+        F.when(k % 7 > 0, F.concat(F.lit("R0"), (k % 7).cast("string"))).alias("target_rule_id"), F.lit(512).alias("max_tokens"),
+        F.lit(0.5).alias("temperature"), ask.alias("prompt_text"),
+        F.when(F.col("o_orderstatus") != "F", F.concat(F.lit("said "), cust.cast("string"))).alias("response"),
+        F.col("o_orderstatus").alias("finish_reason"), usage.alias("usage"), F.sha2(ask, 256).alias("prompt_sha256"), key.alias("ingest_ord"),
+    )
+    return rv.label_export(rows)

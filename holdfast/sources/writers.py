@@ -7,6 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from holdfast.operators.design import trace_columns, trace_rows
 from holdfast.sources.readers import CORRUPT, matching_paths
 
 
@@ -29,6 +30,11 @@ def write_table_csv(table: DataFrame, path: str, columns: Sequence[str], order:
     ).csv(path)
 
 
+def write_trace_csv(cases: DataFrame, path: str, max_turns: int = 15) -> None:
+    """The wide trace table of complete cases with its fixed column list."""
+    write_table_csv(trace_rows(cases, max_turns), path, trace_columns(max_turns))
+
+
 def write_variants(cases: DataFrame, path: str) -> None:
     """One folder per transform variant."""
     cases.write.mode("errorifexists").partitionBy("variant").parquet(path)
