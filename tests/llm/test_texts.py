@@ -3,6 +3,7 @@
 import random
 import zlib
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -147,14 +148,14 @@ TEXT = "Title & more\nFirst para with bold <tag> text here {n}.\nSecond para lin
 
 
 def test_page_texts(table):
-    short = '<html><body><div class="layout"><div class="post-9 content"><p>Hi.</p></div><div class="x">' + "word " * 90 + "</div></div></body></html>"
+    short = '<html><body><div class="layout"><div class="post-9 content"><p>' + "hi " * 60 + '</p></div><div class="x">' + "word " * 90 + "</div></div></body></html>"
     rows = [(n, f"http://h.example/{n}", PAGE.replace("{n}", str(n))) for n in range(5)]
     rows += [(9, "https://user@H.example:80/9", short), (10, None, "<p>a&nbsp;b"), (11, "odd", None), (12, "http://h.example", ""),
              (None, "http://x/", "<!-- open <p>x"), (13, "http://y/", "<p>" * 3000 + "deep")]
     out = {r.page_id: r for r in html_text.main_texts(table(rows, "page_id bigint, url string, html string")).collect()}
     assert len(out) == len(rows)
     assert all(out[n].text == TEXT.replace("{n}", str(n)) and out[n].n_chars == len(out[n].text) for n in range(5))
-    assert out[9].text == "Hi."  # the host's path, although the page's own best container is another
+    assert out[9].text == " ".join(["hi"] * 60)  # the host's path, although the page's own best container is another
     assert (out[10].text, out[11].text, out[12].text, out[None].text, out[13].text) == ("a b", "", "", "", "deep")
     assert html_text.main_texts(table([], "page_id bigint, url string, html string")).collect() == []
 
@@ -186,3 +187,95 @@ def test_page_parts_beside_each_other(inner, path, sizes, table):
     rows = [(i, f"http://h.example/{i}", page) for i in range(3)]  # the path wins its host
     for r in html_text.main_texts(table(rows, "page_id bigint, url string, html string")).collect():
         assert r.path == path and r.text.count("word") == (sum(sizes) if whole else sizes[0])
+
+
+STORY = "<h1>Title here</h1><p>" + "word " * 60 + "</p><p>" + "more " * 40 + "</p>"
+STORY_TEXT = "Title here\n" + " ".join(["word"] * 60) + "\n" + " ".join(["more"] * 40)
+NAV = "<nav><a href=/>home</a></nav>"
+
+
+@pytest.mark.parametrize("page", [
+    f"<body><form id=aspnetForm><input type=hidden name=state>{NAV}<div class=c>{STORY}</div></form></body>",
+    f"<body><form id=aspnetForm><textarea>x</textarea>{NAV}{STORY.replace('h1', 'h2')}</form></body>",
+    f'<body><div class="post comments-open">{STORY}</div></body>',
+    f'<body><div class="page header-fixed">{NAV}<div class=c>{STORY}</div></div></body>',
+    f'<body><div class="page nav-open" role=form><form><input></form><div class=c>{STORY}</div></div></body>',
+    f'<body><article><div class="menu-of-the-day">{STORY}</div></article></body>',
+    f'<body><div id="main-menu">x</div><div class="ad">y</div>{STORY}<div class="cookie-banner">c</div><div class="newsletter-signup">n</div></body>',
+    f'<body>{STORY}<div class="ad-leaderboard">Buy now</div><div class="share-2024"><a href=x>a</a> <a href=y>b</a></div></body>',
+    f'<body><article>{STORY}</article><div class=comments><article>{"<p>long reply</p>" * 200}</article></div></body>',
+    f'<body><div class=post>{STORY}<section class="comment-list">{"<p>long reply</p>" * 200}</section></div></body>',
+    f"<body><article>{STORY}<form><p>Ask us</p><input></form></article></body>",
+])
+def test_articles_are_not_lost_to_names_and_forms(page):
+    assert html_text.extract(page, [])[0] == STORY_TEXT
+
+
+def test_parts_with_boilerplate_words_among_others_stay():
+    body = '<p class="share-price">The price rose.</p><section id="related-work"><h2>Related</h2><p>{}</p></section>'
+    page = f"<body><article><h1>T</h1><p>{'a ' * 30}</p>{body.format('x ' * 30)}</article></body>"
+    text = html_text.extract(page, [])[0].split("\n")
+    assert text[0] == "T" and text[2:] == ["The price rose.", "Related", " ".join(["x"] * 30)]
+
+
+@pytest.mark.parametrize(("inline", "want"), [
+    ('abc <span class="ad">X</span> def', "abc def"), ('abc <b class="share">q<b>r</b> s</b>def', "abc def"),
+    ('abc <span class="ad">X', "abc"), ('abc <span class="share-price">9</span> def', "abc 9 def"),
+])
+def test_inline_boilerplate_does_not_end_its_block(inline, want):
+    assert html_text.extract(f"<body><p>{inline}</p><p>next</p></body>", [])[0] == f"{want}\nnext"
+
+
+def test_host_path_needs_a_share_of_the_page():
+    page = f"<body><article class=card>one two three four five</article><div class=post>{'word ' * 80}</div></body>"
+    assert html_text.extract(page, ["/body/article.card", "/body/div.post"])[1] == "/body/div.post"
+    assert html_text.extract(page, ["/body/article.card"])[1] == "/body/div.post"
+
+
+class Article(HTMLParser):
+    """Blocks of the generator's one <article>, by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.blocks, self.part, self.depth, self.hidden = [], "", 0, 0
+
+    def flush(self):
+        if self.depth and self.part.split():
+            self.blocks.append(" ".join(self.part.split()))
+        self.part = ""
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("script", "style"):
+            self.hidden += 1
+        elif tag == "br":
+            self.part += " "
+        elif tag in html_text.BLOCK_TAGS:
+            self.flush()
+        self.depth += tag == "article"
+
+    def handle_endtag(self, tag):
+        if tag in ("script", "style"):
+            self.hidden -= 1
+        elif tag in html_text.BLOCK_TAGS:
+            self.flush()
+        self.depth -= tag == "article"
+
+    def handle_data(self, data):
+        self.part += "" if self.hidden else data
+
+
+def test_all_given_pages(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r.page_id: r.text for r in html_text.main_texts(pages).collect()}
+    for r in pages.collect():
+        plain = Article()
+        plain.feed(r.html or "")
+        plain.close()
+        assert got[r.page_id] == "\n".join(plain.blocks), r.page_id
+
+
+def test_repeated_pages_and_clashing_columns(table, clashing):
+    rows = [(1, "http://a.example/1", f"<body><article>{STORY}</article></body>")] * 3 + [(None, None, None)]
+    df = clashing(table(rows, "page_id bigint, url string, html string")).selectExpr("*", "'x' AS host", "'x' AS paths", "'x' AS path")
+    out = [tuple(r) for r in html_text.main_texts(df).select("page_id", "text", "n_chars").collect()]
+    assert sorted(out, key=str) == sorted([(1, STORY_TEXT, len(STORY_TEXT))] * 3 + [(None, "", 0)], key=str)
