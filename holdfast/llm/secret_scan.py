@@ -7,13 +7,17 @@ alphabet of its inferred encoding.  Three tests give p-values under that hypothe
 chi-squared uniformity of the alphabet, Wald-Wolfowitz runs about the middle of the
 alphabet, and serial correlation at lag one; Fisher's rule combines them.
 
-A true random string has a uniform p-value, other strings crowd near 0.  Per encoding
-and length class (power of two, as short strings say little) the share of random strings
-is estimated from the upper half of all p-values in the table, and the lowest threshold
-is taken at which the estimated share of false discoveries stays below ``max_false``.
-
-Cases: null text has no spans; empty tables give empty results; null doc_ids and
-repeated rows pass through; extra columns are ignored.
+A true random string has a uniform p-value, other strings crowd near 0.  Each different
+string counts once, however often it was copied.  Per encoding and length class (power of
+two, as short strings say little) the number of random strings is estimated from the p-values
+above ``RANDOM_ABOVE``, where others hardly come; the strings between a threshold and there
+that are more than this number lets expect are false discoveries.  The lowest threshold at
+which their share of all accepted stays within ``max_false`` is taken; a class in which none
+does accepts nothing.
+
+Cases: null text has no spans; very long texts are taken whole; empty tables give empty
+results; null doc_ids and repeated rows pass through, each with its own spans; of two spans
+that start together the kind listed first comes first; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -45,6 +49,7 @@ ENCODINGS = {
     "base64": "+-/0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ_abcdefghijklmnopqrstuvwxyz",
 }
 THRESHOLDS = (0.01, 0.02, 0.05, 0.1, 0.2, 0.5)
+RANDOM_ABOVE = 0.75
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
@@ -168,18 +173,19 @@ def tested(strings: DataFrame) -> DataFrame:
 
 
 def thresholds(tests: DataFrame, rules: ScanRules = ScanRules()) -> dict[tuple[str, int], float]:
-    """Lowest accepted p by (encoding, length class); classes without one accept nothing.
+    """Lowest accepted p by (encoding, length class) of different strings; classes without one accept nothing.
 
     Counts of all tested strings come to the driver as one row per encoding and power of
     two of the length.
     """
-    above = [F.sum((F.col("p") > t).cast("long")).alias(f"a{i}") for i, t in enumerate(THRESHOLDS)]
+    above = [F.count_if(F.col("p") > t).alias(f"a{i}") for i, t in enumerate((*THRESHOLDS, RANDOM_ABOVE))]
     out = {}
     for r in tests.groupBy("encoding", "size_class").agg(*above).collect():
-        random = 2 * r[f"a{len(THRESHOLDS) - 1}"]
+        sure = r[f"a{len(THRESHOLDS)}"]
         for i, t in enumerate(THRESHOLDS):
-            accepted = r[f"a{i}"]
-            if accepted and max(0.0, accepted - random * (1 - t)) / accepted <= rules.max_false:
+            expected = sure * (RANDOM_ABOVE - t) / (1 - RANDOM_ABOVE)
+            false = max(0.0, r[f"a{i}"] - sure - expected)
+            if sure and false <= rules.max_false * r[f"a{i}"]:
                 out[r["encoding"], r["size_class"]] = t
                 break
     return out
@@ -212,17 +218,15 @@ def scan(docs: DataFrame, rules: ScanRules = ScanRules()) -> DataFrame:
         "spans",
     )
     tokens = rows.filter(F.size("tokens") > 0)
-    limits = thresholds(tested(tokens.select(F.explode("tokens").alias("t")).select("t.token")), rules)
+    limits = thresholds(tested(tokens.select(F.explode("tokens.token").alias("token")).distinct()), rules)
     # The few documents with candidates are tested again by row, then joined by row number.
-    accepted = F.lit(False)
+    limit = F.lit(2.0)  # above any p
     for (encoding, size_class), t in sorted(limits.items()):
-        accepted = accepted | (
-            (F.col("encoding") == encoding) & (F.col("size_class") == size_class) & (F.col("p") > t)
-        )
-    again = tested(
-        tokens.select("_row", F.explode("tokens").alias("t"))
-        .select("_row", "t.token", "t.start")
-    ).filter(accepted)
+        limit = F.when((F.col("encoding") == encoding) & (F.col("size_class") == size_class), F.lit(t)).otherwise(limit)
+    again = tested(tokens.select("_row", F.explode("tokens").alias("t")).select("_row", "t.token", "t.start"))
+    # A generator of one row keeps the filter from being pushed into the tests' expressions.
+    verdict = F.struct("_row", "token", "start", (F.col("p") > limit).alias("accepted"))
+    again = again.select(F.inline(F.array(verdict))).filter("accepted")
     added = again.groupBy("_row").agg(F.sort_array(F.collect_list(
         _span(F.col("start"), "random", F.col("start") + F.length("token"))
     )).alias("random"))

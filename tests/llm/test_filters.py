@@ -1,6 +1,8 @@
 """Quality rules, secret scan and exact dedup against plain Python."""
 
 import hashlib
+import math
+import random
 
 import llm_brute as brute
 import pytest
@@ -134,3 +136,134 @@ def test_directory_splits_until_buckets_fit(spark):
     assert all(1 <= r.local_depth <= depth for r in rows)
     fill = keys.selectExpr(f"shiftrightunsigned(_hash, {64 - depth}) AS slot").join(slots, "slot").groupBy("bucket").count()
     assert fill.agg({"count": "max"}).first()[0] <= 64
+
+
+def plain_test(token):
+    """(encoding, length class, p) in plain Python, or None without an encoding."""
+    name = next((n for n, abc in secret_scan.ENCODINGS.items() if set(token) <= set(abc)), None)
+    abc = secret_scan.ENCODINGS[name]
+    n, k = len(token), len(abc)
+    codes = [abc.index(c) for c in token]
+
+    def tail(z):
+        return math.erfc(z / math.sqrt(2)) / 2
+
+    chi = sum((c - n / k) ** 2 / (n / k) for c in (token.count(x) for x in abc))
+    df = k - 1
+    ps = [tail(((chi / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df)))]
+    middle = (k - 1) / 2
+    high = [c > middle for c in codes]
+    runs, up, down = 1 + sum(a != b for a, b in zip(high, high[1:])), sum(high), n - sum(high)
+    var = 2 * up * down * (2 * up * down - n) / (n * n * (n - 1))
+    ps.append(2 * tail(abs((runs - 2 * up * down / n - 1) / math.sqrt(var)) if var > 0 else 9.0))
+    spread = sum((c - middle) ** 2 for c in codes)
+    product = sum((a - middle) * (b - middle) for a, b in zip(codes, codes[1:]))
+    ps.append(2 * tail(abs(product / spread * math.sqrt(n)) if spread else 9.0))
+    x = -sum(math.log(max(min(q, 1.0), 1e-300)) for q in ps)
+    return name, int(math.log2(n)), math.exp(-x) * (1 + x + x * x / 2)
+
+
+def plain_thresholds(tokens, max_false=0.1):
+    classes = {}
+    for t in set(tokens):
+        name, size, p = plain_test(t)
+        classes.setdefault((name, size), []).append(p)
+    out = {}
+    for key, ps in classes.items():
+        sure = sum(p > 0.75 for p in ps)
+        for t in secret_scan.THRESHOLDS:
+            accepted = sum(p > t for p in ps)
+            if sure and max(0, accepted - sure - sure * (0.75 - t) * 4) <= max_false * accepted:
+                out[key] = t
+                break
+    return out
+
+
+def strings(seed=3):
+    draw = random.Random(seed)
+    out = []
+    for abc in secret_scan.ENCODINGS.values():
+        out += ["".join(draw.choices(abc, k=draw.choice([20, 40]))) for _ in range(12)]
+    out += ["".join(draw.choice(["key", "user", "id", "-", "_", "2024", "prod"]) for _ in range(8)).ljust(20, "x") for _ in range(30)]
+    out += ["a1" * 12, "0" * 19 + "a", "abc123" * 5]
+    return out
+
+
+def test_p_values_and_thresholds_equal_plain_ones(table, tmp_path):
+    tokens = strings()
+    table([(t,) for t in tokens], "token string").write.parquet(f"{tmp_path}/tokens")
+    frame = table([], "token string").sparkSession.read.parquet(f"{tmp_path}/tokens")
+    rows = secret_scan.tested(frame).collect()
+    for r in rows:
+        name, size, p = plain_test(r.token)
+        assert (r.encoding, r.size_class) == (name, size) and r.p == pytest.approx(p, abs=2e-6)
+    assert secret_scan.thresholds(secret_scan.tested(frame.distinct())) == plain_thresholds(tokens)
+
+
+def test_copies_of_one_string_change_no_other_verdict(table):
+    tokens = [t for t in strings(8) if any(c.isdigit() for c in t) and any(c.isalpha() for c in t)]
+    rows = [(i, f"see {t} here") for i, t in enumerate(tokens)]
+    before = {r.doc_id: r.spans for r in secret_scan.report(table(rows)).collect()}
+    copied = min(tokens, key=lambda t: abs(plain_test(t)[2] - 0.3))
+    more = rows + [(10_000 + i, f"see {copied} here") for i in range(300)]
+    after = {r.doc_id: r.spans for r in secret_scan.report(table(more)).collect()}
+    assert {d: s for d, s in after.items() if d < 10_000} == before
+    limits = plain_thresholds(tokens)
+    for i, t in enumerate(tokens):
+        name, size, p = plain_test(t)
+        assert ("random" in before[i]) == (p > limits.get((name, size), 2) and not set(before[i].split(":")) & {"hex", "access", "assign"})
+
+
+def test_a_class_of_words_accepts_nothing(table):
+    rows = [(i, "word1-" * 4 + f"word{i % 10}-wordy") for i in range(60)]
+    assert not any("random" in r.spans for r in secret_scan.report(table(rows)).collect())
+
+
+def test_secret_scan_of_odd_rows(table, clashing):
+    long = "x " * 200_000 + "AKIA" + "A1" * 8
+    rows = [(None, "secret=abcdefgh1"), (1, long), (1, long), (2, None)]
+    df = clashing(table(rows)).selectExpr("*", "'x' AS base", "'x' AS tokens", "'x' AS _row", "'x' AS random", "'x' AS p")
+    out = sorted(((r.doc_id or 0, r.n_assign, r.n_access, r.spans) for r in secret_scan.report(df).collect()))
+    hit = (1, 0, 1, "access:400000:400020")
+    assert out == [(0, 1, 0, "assign:0:16"), hit, hit, (2, 0, 0, "")]
+
+
+def test_rare_languages_are_judged_by_the_base_rules_only(given, table):
+    odd = " ".join("#$%&|<>" for _ in range(200)) + " " + " ".join(f"{i}" for i in range(100))
+    rows = given.unionByName(table([(50_000, odd, "rare", None), (50_001, odd, None, None)]))
+    out = {r.doc_id: r for r in quality.judge(rows).collect()}
+    assert out[50_000].base_failed == out[50_001].base_failed
+    assert out[50_000].kept == (not out[50_000].base_failed) and not out[50_001].kept
+
+
+def test_more_languages_than_once_allowed(table):
+    rows = [(i, " ".join(f"w{i % 70}x{k}" for k in range(30)), f"l{i % 70}", None) for i in range(70 * 21)]
+    refs = quality.references(table(rows))
+    assert len(refs) == 70
+
+
+def test_distances_equal_plain_ones(given):
+    rules = quality.QualityRules(min_chars_for_classes=1, min_words_for_common=1)
+    refs = quality.references(given, rules)
+
+    def distance(a, b):
+        total = 0
+        for p, q in zip(a, b):
+            m = (p + q) / 2
+            total += (p * math.log2(p / m) if p else 0) + (q * math.log2(q / m) if q else 0)
+        return math.sqrt(max(0, total / 2))
+
+    texts = dict(pairs(given))
+    hashes = {}
+    words = sorted({w for t in texts.values() for w in brute.WORD.findall(t or "")})
+    frame = given.sparkSession.createDataFrame([(w,) for w in words], "w string").selectExpr("w", "xxhash64(w) AS h")
+    hashes = {r.w: r.h for r in frame.collect()}
+    for r in quality.judge_rows(given, rules).limit(60).collect():
+        found = [hashes[w] for w in brute.WORD.findall(texts[r["_d"].doc_id] or "")]
+        if not found:
+            continue
+        best = []
+        for ref in refs:
+            shares = [sum(h in cell for h in found) / len(found) for cell in map(set, ref.cells)]
+            best.append(distance([*shares, max(0, 1 - sum(shares))], ref.shares))
+        assert r.word_distance == pytest.approx(min(best), abs=1e-9)
