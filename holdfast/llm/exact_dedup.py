@@ -5,14 +5,18 @@
 2. ``directory``: the distinct hashes are counted by their leading bits.  While a bucket
    holds more than ``capacity`` hashes the directory doubles; a bucket that fits stays
    at its own, smaller depth.  Copies share one hash, so no split is spent on them.
-3. ``chains``: texts of one hash are told apart by comparing their bytes (grouping on
-   hash and text, combined in every map task, so a hot group sends one row per task).
-   Each different text of a hash is one link of its bucket's chain.
-4. ``index``: links that stand for two or more documents, dealt to owner tasks by key
+3. ``addressed``: every key finds its bucket in the directory; nothing below works on a
+   key without one.
+4. ``chains``: inside a bucket, texts of one hash are told apart by comparing their bytes
+   (grouping on bucket, hash and text, combined in every map task, so a hot group sends one
+   row per task).  Each different text of a hash is one link of its bucket's chain.
+5. ``index``: links that stand for two or more documents, dealt to owner tasks by key
    range, sorted by bucket and hash, written to the shared folder.
-5. Every document looks its link up; documents without one stand alone.
+6. ``resolve``: every document looks its link up in its bucket; documents without one stand
+   alone.  ``keep_first`` takes each chain's best document as it is: whole documents are
+   only matched with survivors, by a key of their own, so copies never meet in one task.
 
-Cases: null text counts as empty, so null, empty and blank texts are one group; a null
+Cases: very long texts are taken whole; null text counts as empty, so null, empty and blank texts are one group; a null
 doc_id loses against any other; rows that repeat a doc_id with equal text count each in
 group_size and exactly one of them is kept; empty tables give empty results; extra
 columns are ignored by ``resolve`` and kept by ``keep_first``.
@@ -68,8 +72,14 @@ def directory(keys: DataFrame, capacity: int = CAPACITY) -> tuple[int, DataFrame
     return depth, sh.written(own.withColumn("bucket", bucket), "directory")
 
 
-def chains(docs: DataFrame) -> DataFrame:
-    """One row per different text: hash, SHA-256, number of documents and the one that stays.
+def addressed(rows: DataFrame, depth: int, slots: DataFrame) -> DataFrame:
+    """Rows with ``_hash`` get the bucket that the directory names for them."""
+    named = rows.withColumn("slot", _prefix(F.col("_hash"), depth))
+    return named.join(slots.select("slot", "bucket"), "slot").drop("slot")
+
+
+def chains(docs: DataFrame, depth: int, slots: DataFrame) -> DataFrame:
+    """One row per different text: bucket, hash, SHA-256, number of documents and the one that stays.
 
     The better document of two is the larger value of length * 2^64 - doc_id, a decimal
     that fits a hash aggregate's buffer.
@@ -80,26 +90,23 @@ def chains(docs: DataFrame) -> DataFrame:
     ).cast("decimal(38,0)")
     best = F.expr("cast(_long as decimal(38,0)) * 18446744073709551616BD - _best")
     return (
-        _hashed(docs).withColumn("_rank", rank)
-        .groupBy("_hash", "_norm")
+        addressed(_hashed(docs).withColumn("_rank", rank), depth, slots)
+        .groupBy("bucket", "_hash", "_norm")
         .agg(F.max("_rank").alias("_best"), F.max("n_chars").alias("_long"), F.count(F.lit(1)).alias("group_size"))
         .select(
-            "_hash", F.sha2("_norm", 256).alias("text_sha256"), "group_size",
+            "bucket", "_hash", F.sha2("_norm", 256).alias("text_sha256"), "group_size",
             F.when(best < F.expr("9223372036854775808BD"), best.cast("long")).alias("keep_id"),
             F.col("_long").alias("keep_chars"),
         )
     )
 
 
-def build_index(docs: DataFrame, keys: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def build_index(docs: DataFrame, depth: int, slots: DataFrame) -> DataFrame:
     """The shared index: links of two or more documents by bucket, hash and place in the chain."""
-    depth, slots = directory(keys, capacity)
-    links = sh.written(chains(docs).filter("group_size > 1"), "links")
-    placed = links.withColumn("slot", _prefix(F.col("_hash"), depth)).join(slots, "slot")
-    owned = placed.repartitionByRange("bucket", "_hash")
+    links = sh.written(chains(docs, depth, slots).filter("group_size > 1"), "links")
     chain = Window.partitionBy("bucket", "_hash").orderBy("text_sha256")
     return sh.written(
-        owned.withColumn("chain", F.row_number().over(chain)).select(
+        links.repartitionByRange("bucket", "_hash").withColumn("chain", F.row_number().over(chain)).select(
             "bucket", "_hash", "chain", "text_sha256", "keep_id", "keep_chars", "group_size"
         ).sortWithinPartitions("bucket", "_hash", "chain"),
         "index",
@@ -107,9 +114,8 @@ def build_index(docs: DataFrame, keys: DataFrame, capacity: int = CAPACITY) -> D
 
 
 def _looked_up(rows: DataFrame, index: DataFrame) -> DataFrame:
-    """Rows with (doc_id, n_chars, _hash, text_sha256) get keep_id, group_size and kept."""
-    found = rows.join(index.select("_hash", "text_sha256", "keep_id", "keep_chars", "group_size"),
-                      ["_hash", "text_sha256"], "left")
+    """Rows with (doc_id, n_chars, bucket, _hash, text_sha256) get keep_id, group_size and kept."""
+    found = rows.join(index.drop("chain"), ["bucket", "_hash", "text_sha256"], "left")
     return (
         found.withColumn("keep_id", F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")))
         .withColumn("_first", F.col("group_size").isNull() | (
@@ -124,7 +130,8 @@ def resolve(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     keys = sh.written(
         _hashed(docs).select("doc_id", "n_chars", "_hash", F.sha2("_norm", 256).alias("text_sha256")), "keys"
     )
-    rows = _looked_up(keys, build_index(docs, keys, capacity))
+    depth, slots = directory(keys, capacity)
+    rows = _looked_up(addressed(keys, depth, slots), build_index(docs, depth, slots))
     # Only documents that could stay for their group are numbered: one, and its repeats.
     turn = F.row_number().over(Window.partitionBy("_hash", "text_sha256").orderBy("n_chars"))
     firsts = rows.filter("_first").filter("group_size > 1").withColumn("kept", turn == 1)
@@ -138,11 +145,18 @@ def resolve(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 def keep_first(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """The documents that stay, with their own columns."""
     names = docs.columns
-    keys = sh.written(_hashed(docs).select("doc_id", "n_chars", "_hash"), "keys")
-    index = build_index(docs, keys, capacity)
+    depth, slots = directory(_hashed(docs).select("_hash"), capacity)
+    key = ["_id", "_no_id", "_hash", "n_chars", "text_sha256"]
+
+    def keyed(rows: DataFrame, doc_id: str) -> DataFrame:
+        return rows.withColumn("_id", F.coalesce(doc_id, F.lit(0))).withColumn("_no_id", F.col(doc_id).isNull())
+
+    stay = chains(docs, depth, slots).withColumnRenamed("keep_chars", "n_chars")
+    stay = sh.written(keyed(stay, "keep_id").select(*key), "survivors")
     packed = _hashed(docs, F.struct(*[F.col(f"`{c}`") for c in names]).alias("_d")).withColumn(
         "text_sha256", F.sha2("_norm", 256)
     ).drop("_norm")
-    rows = _looked_up(packed, index).filter("_first").select("_d", "_hash", "text_sha256", "group_size")
-    turn = F.row_number().over(Window.partitionBy("_hash", "text_sha256").orderBy(F.xxhash64("_d")))
+    rows = keyed(packed, "doc_id").join(stay, key, "left_semi")
+    # Only repeated rows of one doc_id are left in a key.
+    turn = F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64("_d")))
     return rows.withColumn("_turn", turn).filter("_turn = 1").select(*[F.col(f"_d.`{c}`") for c in names])

@@ -267,3 +267,24 @@ def test_distances_equal_plain_ones(given):
             shares = [sum(h in cell for h in found) / len(found) for cell in map(set, ref.cells)]
             best.append(distance([*shares, max(0, 1 - sum(shares))], ref.shares))
         assert r.word_distance == pytest.approx(min(best), abs=1e-9)
+
+
+def test_results_hang_on_the_directory(given):
+    keys = exact_dedup._hashed(given).select("doc_id", "n_chars", "_hash")
+    depth, slots = exact_dedup.directory(keys, 16)
+    whole = exact_dedup.chains(given, depth, slots)
+    texts = len({v[2] for v in brute.exact(pairs(given)).values()})
+    assert whole.count() == texts and slots.count() > 4
+    first = slots.orderBy("slot").first()["slot"]
+    torn = slots.filter(f"slot != {first}")
+    assert exact_dedup.chains(given, depth, torn).count() < texts
+    assert exact_dedup.addressed(keys, depth, torn).count() < keys.count()
+    split = exact_dedup.chains(given, depth, slots.withColumn("bucket", F.col("slot")))
+    assert split.select("bucket").distinct().count() >= whole.select("bucket").distinct().count()
+
+
+def test_survivors_of_a_hot_text(table):
+    rows = [(i, "same  text" if i == 77 else "same text") for i in range(500)] + [(900 + i, f"own {i}") for i in range(20)]
+    rows += [(77, "same  text")] * 3
+    kept = exact_dedup.keep_first(table(rows)).collect()
+    assert sorted(r.doc_id for r in kept) == [77, *range(900, 920)]
