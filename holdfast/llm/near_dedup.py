@@ -6,12 +6,13 @@ the least offer.  So one element's ranks are correlated across places and never
 which lowers the variance against independent hashes, and a document is done as soon as
 all its places are filled, because later steps can only offer more.
 
-Documents with the same shingle set form a class and only its smallest doc_id goes on.
+Documents with the same shingle set form a class, told by set size and a 128-bit digest;
+classes are made once by an aggregate and only their smallest doc_id goes on.
 A bucket (one band of equal places) is compared with one head, its member that meets most
 others, instead of pair by pair; links are confirmed on the full sets.  What its head
-leaves in several components is compared in bounded tiles: pairs that may be links (by
-component, set sizes and 68 % agreement of the signatures) are confirmed there, and only
-links come out as rows.  Components are found by alternating large-star and small-star
+leaves in several components is compared in bounded tiles, first by signatures alone: a
+member without a possible link (by component, set sizes and 68 % agreement) ends there.
+The others' texts meet in smaller tiles, and only links come out as rows.  Components are found by alternating large-star and small-star
 steps on the table of links; nothing of it comes to the driver.
 
 With 42 bands of 6 places a pair at similarity 0.8 shares no bucket with probability
@@ -19,8 +20,9 @@ With 42 bands of 6 places a pair at similarity 0.8 shares no bucket with probabi
 0.000001; both fall fast above 0.8.
 
 Cases: null or blank text has no shingles, is linked with nothing and stands alone; a
-text of one word is one shingle; rows that share a doc_id are one document; a row
-without doc_id has component null and is kept; empty tables give empty results; extra
+text of one word is one shingle; rows that share a doc_id are one document and link all
+classes they are in; very long texts are hashed and compared whole, in slices of a batch;
+a row without doc_id has component null and is kept; empty tables give empty results; extra
 columns are ignored by ``components`` and kept by ``keep_one``.
 """
 
@@ -40,6 +42,7 @@ from holdfast.llm import shared as sh
 from holdfast.llm.chunks import slices
 
 SIGNATURES = "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, bands array<bigint>, places binary"
+CLASS = ["set_a", "set_b", "n_shingles"]
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 MULTIPLY = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 UNSET = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -53,6 +56,7 @@ class NearRules:
     places: int = 6
     group: int = 256
     tile: int = 512
+    sign_tile: int = 4096
     min_agreement: float = 0.68
 
 
@@ -199,8 +203,10 @@ def verified(pairs: DataFrame, docs: DataFrame, rules: NearRules) -> DataFrame:
             ):
                 own = shingle_set(text, rules.words)
                 if turn == 0:
-                    front = [*front, own] if key == (a, salt) else [own]
-                    key = (a, salt)
+                    if key != (a, salt):
+                        key, front = (a, salt), []
+                    if own not in front:
+                        front.append(own)
                     continue
                 for other in front:
                     common = len(own & other)
@@ -236,24 +242,49 @@ def star_components(links: DataFrame) -> DataFrame:
         before = now
 
 
-def _with_roots(members: DataFrame, roots: DataFrame) -> DataFrame:
-    named = roots.select(F.col("id").alias("rep"), "root")
-    return members.join(named, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-
-
 def _near_in_size(a: Column, b: Column, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
+def set_classes(sigs: DataFrame) -> DataFrame:
+    """One row per different set: smallest doc_id ``rep``, rows, and its signature.
+
+    Equal sets have equal signatures, so copies meet in map-side aggregates and no join
+    ever brings the rows of a hot set together.
+    """
+    return sigs.filter("n_shingles > 0 and doc_id is not null").groupBy(*CLASS).agg(
+        F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"),
+        F.first("bands").alias("bands"), F.first("places").alias("places"))
+
+
+def with_class(rows: DataFrame, classes: DataFrame, value: str, hot_classes: int = 10_000) -> DataFrame:
+    """``rows`` with their class's ``value`` (null without a class).
+
+    Classes of more than a ``hot_classes``-th of all rows, hence fewer than ``hot_classes``,
+    are broadcast; all others are joined by a shuffle.
+    """
+    floor = classes.agg(F.ceil(F.sum("copies") / hot_classes)).first()[0] or 0
+    hot = classes.filter(F.col("copies") > max(floor, 1000)).select(*CLASS, F.col(value).alias("_hot"))
+    cold = classes.filter(F.col("copies") <= max(floor, 1000)).select(*CLASS, value)
+    split = rows.join(F.broadcast(hot), CLASS, "left")
+    rest = split.filter("_hot is null").drop("_hot").join(cold, CLASS, "left")
+    return rest.unionByName(split.filter("_hot is not null").withColumnRenamed("_hot", value))
+
+
+def same_id_links(sigs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): a doc_id that occurs with several sets, linked with every class it is in."""
+    several = sigs.filter("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(
+        F.min(F.struct(*CLASS)).alias("_low"), F.max(F.struct(*CLASS)).alias("_high")
+    ).filter("_low != _high").select("doc_id")
+    held = sigs.select("doc_id", *CLASS).join(several, "doc_id").filter("n_shingles > 0").distinct()
+    return held.join(classes.select(*CLASS, "rep"), CLASS).filter("rep != doc_id").select(
+        F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+
+
 def links_between(sigs: DataFrame, docs: DataFrame, rules: NearRules) -> tuple[DataFrame, DataFrame]:
-    """Class table (doc_id, rep) and components (id, root) of the classes' representatives."""
-    classes = sigs.filter("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b", "n_shingles").agg(
-        F.min("doc_id").alias("rep")
-    )
-    banded = (
-        sigs.join(classes, ["set_a", "set_b", "n_shingles"]).filter("doc_id = rep")
-        .select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
-    )
+    """Class table and components (id, root) of the classes' representatives."""
+    classes = sh.written(set_classes(sigs), "classes")
+    banded = classes.select("rep", "set_a", F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(
         F.min("rep").alias("_first"), F.max("rep").alias("_last"), F.count(F.lit(1)).alias("_size")
     ).filter("_first != _last").select("band", "_size")
@@ -265,61 +296,110 @@ def links_between(sigs: DataFrame, docs: DataFrame, rules: NearRules) -> tuple[D
     heads = top.select("band", (-F.col("_top._low")).alias("head"))
     members = sh.written(found.drop("_size").join(heads, "band"), "members")
 
-    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
-        return sh.written(verified(pairs.distinct(), docs, rules), name)
-
-    def linked(checked: DataFrame) -> DataFrame:
-        return checked.filter(F.col("common") * 100 >= F.col("total") * rules.percent).select("a", "b")
-
     front = members.filter("rep = head").select("band", F.col("n").alias("head_n"))
-    first = confirmed(
+    pairs = (
         members.filter("rep != head").join(front, "band")
-        .filter(_near_in_size(F.col("n"), F.col("head_n"), rules.percent)).select(
-            F.col("head").alias("a"), F.col("rep").alias("b")), "checked")
-    # A doc_id that occurs with several texts belongs to several classes: they are one document.
-    seen = sigs.join(classes, ["set_a", "set_b", "n_shingles"]).groupBy("doc_id").agg(
-        F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a != b").select("a", "b")
-    links = linked(first).unionByName(seen)
+        .filter(_near_in_size(F.col("n"), F.col("head_n"), rules.percent))
+        .select(F.col("head").alias("a"), F.col("rep").alias("b"))
+    )
+    first = sh.written(verified(pairs.distinct(), docs, rules), "checked")
+    links = first.filter(F.col("common") * 100 >= F.col("total") * rules.percent).select("a", "b").unionByName(
+        same_id_links(sigs, classes))
     roots = star_components(links)
-    placed = _with_roots(members, roots)
+    placed = members.join(roots.withColumnRenamed("id", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     open_buckets = placed.groupBy("band").agg(
         F.min("root").alias("_low"), F.max("root").alias("_high"), F.count(F.lit(1)).alias("_size")
     ).filter("_low != _high").select("band", "_size")
-    signs = sigs.join(classes, ["set_a", "set_b", "n_shingles"]).filter("doc_id = rep").select("rep", "places", "bands")
-    apart = placed.join(open_buckets, "band").join(signs.dropDuplicates(["rep"]), "rep")
-    more = sh.written(tile_links(apart, docs, rules), "more")
+    signs = classes.select("rep", "set_a", "bands", "places")
+    apart = placed.join(open_buckets, "band").join(signs, ["rep", "set_a"])
+    likely = sh.written(likely_members(apart, rules), "likely")
+    more = sh.written(tile_links(likely, docs, rules), "more")
     if more.isEmpty():
         return classes, roots
     return classes, star_components(links.unionByName(more))
 
 
-def tile_links(apart: DataFrame, docs: DataFrame, rules: NearRules) -> DataFrame:
+class _Tile:
+    """Signatures of the members of one group of tiles."""
+
+    def __init__(self, rows: pd.DataFrame, rules: NearRules):
+        self.rules, self.band = rules, rows["band"].iloc[0]
+        self.rep, self.n, self.own = (rows[c].to_numpy() for c in ("rep", "n", "own"))
+        self.root = rows["root"].to_numpy().copy()
+        self.places = np.frombuffer(b"".join(rows["places"]), np.uint8).reshape(len(rows), -1)
+        self.bands = np.stack(rows["bands"].to_numpy())
+        self.both = rows["x"].iloc[0] != rows["y"].iloc[0]
+        self.least = int(rules.min_agreement * rules.bands * rules.places)
+
+    def after(self, i: int) -> np.ndarray:
+        """Later members that may be links of member ``i`` and meet it first in this bucket."""
+        at = i + 1 + np.flatnonzero(
+            (self.root[i + 1 :] != self.root[i])
+            & (np.minimum(self.n[i + 1 :], self.n[i]) * 100 >= np.maximum(self.n[i + 1 :], self.n[i]) * self.rules.percent)
+            & ((self.own[i + 1 :] != self.own[i]) if self.both else True)
+        )
+        at = at[(self.places[at] == self.places[i]).sum(axis=1) >= self.least]
+        return at[self.bands[at, (self.bands[at] == self.bands[i]).argmax(axis=1)] == self.band]
+
+
+def _tiled(members: DataFrame, tile: int) -> DataFrame:
+    """Members of buckets of ``_size`` dealt to tiles of about ``tile``; every two tiles (x, y) meet."""
+    return (
+        members.withColumn("_tiles", F.ceil(F.col("_size") / tile).cast("long"))
+        .withColumn("own", F.pmod(F.xxhash64("rep"), F.col("_tiles")))
+        .withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_tiles") - 1)))
+        .withColumns({"x": F.least("own", "_other"), "y": F.greatest("own", "_other")})
+        .select("band", "x", "y", "own", "rep", "set_a", "n", "root", "places", "bands")
+    )
+
+
+def _groups(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Whole (band, x, y) groups of a sorted stream."""
+    rest = None
+    for frame in frames:
+        rest = frame if rest is None else pd.concat([rest, frame])
+        groups = [g for _, g in rest.groupby(["band", "x", "y"], sort=False)]
+        yield from groups[:-1]
+        rest = groups[-1] if groups else None
+    if rest is not None:
+        yield rest
+
+
+def likely_members(apart: DataFrame, rules: NearRules) -> DataFrame:
+    """Members of open buckets that have a possible link in another component, by signatures alone.
+
+    No text moves here and at most one row per member and group comes out.
+    """
+    columns = ["band", "rep", "set_a", "n", "root", "places", "bands"]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in _groups(frames):
+            tile, some = _Tile(rows, rules), np.zeros(len(rows), bool)
+            for i in range(len(rows) - 1):
+                at = tile.after(i)
+                some[at] = True
+                some[i] |= len(at) > 0
+            yield rows.loc[some, columns]
+
+    met = _tiled(apart, rules.sign_tile).repartition("band", "x", "y").sortWithinPartitions("band", "x", "y")
+    found = met.mapInPandas(
+        run, "band bigint, rep bigint, set_a bigint, n bigint, root bigint, places binary, bands array<bigint>")
+    return found.dropDuplicates(["band", "rep", "set_a"])
+
+
+def tile_links(likely: DataFrame, docs: DataFrame, rules: NearRules) -> DataFrame:
     """(a, b): confirmed links between members of a bucket that lie in different components.
 
-    A bucket is dealt to tiles of about ``tile`` members and every two tiles meet in one
-    group, so groups are bounded.  A pair is looked at in the first bucket it shares, if
-    its components, set sizes and signatures allow a link; the full sets decide.  Only
-    links come out as rows.
+    Groups of two tiles are bounded; a pair is looked at in the first bucket it shares and
+    the full sets decide.  Only links come out as rows.
     """
-    tiles = F.ceil(F.col("_size") / rules.tile).cast("long")
-    met = (
-        apart.withColumn("_tiles", tiles).withColumn("_own", F.pmod(F.xxhash64("rep"), F.col("_tiles")))
-        .withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_tiles") - 1)))
-        .select("band", F.least("_own", "_other").alias("x"), F.greatest("_own", "_other").alias("y"),
-                F.col("_own").alias("own"), "rep", "n", "root", "places", "bands")
-    )
+    sizes = likely.groupBy("band").agg(F.count(F.lit(1)).alias("_size"))
+    met = _tiled(likely.join(sizes, "band"), rules.tile)
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").filter("rep is not null and text is not null")
-    least = int(rules.min_agreement * rules.bands * rules.places)
 
     def links_of(rows: pd.DataFrame) -> pd.DataFrame:
-        rep, root, n, own = (rows[c].to_numpy() for c in ("rep", "root", "n", "own"))
-        texts, band = rows["text"].tolist(), rows["band"].iloc[0]
-        signs = np.frombuffer(b"".join(rows["places"]), np.uint8).reshape(len(rows), -1)
-        bands = np.stack(rows["bands"].to_numpy())
-        both = rows["x"].iloc[0] != rows["y"].iloc[0]
-        sets: dict[int, set] = {}
-        found = []
-        root = root.copy()
+        tile, texts = _Tile(rows, rules), rows["text"].tolist()
+        root, sets, found = tile.root, {}, []
 
         def set_of(i: int) -> set:
             if i not in sets:
@@ -327,32 +407,17 @@ def tile_links(apart: DataFrame, docs: DataFrame, rules: NearRules) -> DataFrame
             return sets[i]
 
         for i in range(len(rows) - 1):
-            at = i + 1 + np.flatnonzero(
-                (root[i + 1 :] != root[i])
-                & (np.minimum(n[i + 1 :], n[i]) * 100 >= np.maximum(n[i + 1 :], n[i]) * rules.percent)
-                & ((own[i + 1 :] != own[i]) if both else True)
-            )
-            at = at[(signs[at] == signs[i]).sum(axis=1) >= least]
-            at = at[bands[at, (bands[at] == bands[i]).argmax(axis=1)] == band]
-            for j in at.tolist():
+            for j in tile.after(i).tolist():
                 if root[i] == root[j]:
                     continue
                 common = len(set_of(i) & set_of(j))
                 if common * 100 >= (len(sets[i]) + len(sets[j]) - common) * rules.percent:
-                    found.append((rep[i], rep[j]))
+                    found.append((tile.rep[i], tile.rep[j]))
                     root[root == root[j]] = root[i]
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
-        for frame in frames:
-            rest = frame if rest is None else pd.concat([rest, frame])
-            groups = [g for _, g in rest.groupby(["band", "x", "y"], sort=False)]
-            for group in groups[:-1]:
-                yield links_of(group)
-            rest = groups[-1] if groups else None
-        if rest is not None:
-            yield links_of(rest)
+        return map(links_of, _groups(frames))
 
     streams = met.hint("merge").join(texts, "rep").repartition("band", "x", "y").sortWithinPartitions("band", "x", "y")
     return streams.mapInPandas(run, "a bigint, b bigint")
@@ -362,12 +427,11 @@ def components(docs: DataFrame, rules: NearRules = NearRules()) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     sigs = sh.written(signed(docs, rules), "signatures")
     classes, roots = links_between(sigs, docs, rules)
-    own = sigs.select("doc_id", "n_shingles", "set_a", "set_b").join(
-        classes, ["set_a", "set_b", "n_shingles"], "left")
-    named = roots.select(F.col("id").alias("rep"), "root")
-    rows = own.join(named, "rep", "left").select(
-        "doc_id", "n_shingles", F.coalesce("root", "rep", "doc_id").alias("component_id"))
-    rows = rows.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
+    placed = classes.select(*CLASS, "rep", "copies").join(roots.withColumnRenamed("id", "rep"), "rep", "left")
+    placed = sh.written(placed.select(*CLASS, "copies", F.coalesce("root", "rep").alias("component_id")), "placed")
+    rows = with_class(sigs.select("doc_id", *CLASS), placed, "component_id")
+    rows = rows.select("doc_id", "n_shingles", F.when(
+        F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
     return rows.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 

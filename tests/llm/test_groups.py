@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import llm_brute as brute
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from holdfast.llm import kd_shards, mixing, near_dedup
 
@@ -49,6 +50,63 @@ def test_near_repeats_nulls_and_columns(table, clashing):
     assert near_dedup.components(table([])).collect() == []
 
 
+def components_of_rows(rows):
+    """Sorted (doc_id, n_shingles, component_id) where rows of one id with words are one document."""
+    own = brute.components([(i, t) for i, (_, t) in enumerate(rows)])
+    root = {d: d for d, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, (d, _) in enumerate(rows):
+        a, b = find(d), find(rows[own[i][1]][0])
+        root[max(a, b)] = min(a, b)
+    return sorted((d, own[i][0], find(d)) for i, (d, _) in enumerate(rows))
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_small_tiles_and_repeated_ids(table, seed):
+    """Several drifting chains; ids shared by texts of up to three chains; tiles of a few members."""
+    draw = random.Random(seed)
+    rows = []
+    for chain in range(4):
+        words = [f"c{chain}w{i}" for i in range(80)]
+        for i in range(40):
+            words = list(words)
+            words[draw.randrange(80)] = f"n{chain}x{i}"
+            rows.append((chain * 1000 + draw.randrange(1000), " ".join(words)))
+    shared = [(7, rows[5][1]), (7, rows[45][1]), (7, rows[85][1]), (7, rows[85][1])]
+    rules = near_dedup.NearRules(group=4, tile=3, sign_tile=7)
+    for given_rows in (rows, rows + shared):
+        out = near_dedup.components(table(given_rows), rules).collect()
+        assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in out) == components_of_rows(given_rows)
+
+
+def test_bucket_of_unconnected_members_moves_no_texts(table, spark):
+    """Members that share a band but agree nowhere else end at their signatures."""
+    draw = np.random.default_rng(3)
+    rules = near_dedup.NearRules(sign_tile=64)
+    rows = [(9, i, i, 50, i, 300, draw.bytes(252), [9, *draw.integers(100, 1 << 60, 41).tolist()]) for i in range(298)]
+    same = draw.bytes(252)
+    rows += [(9, i, i, 50, i, 300, same, [9, *draw.integers(100, 1 << 60, 41).tolist()]) for i in (400, 401)]
+    apart = spark.createDataFrame(
+        rows, "band bigint, rep bigint, set_a bigint, n bigint, root bigint, _size bigint, places binary, bands array<bigint>")
+    assert sorted(r.rep for r in near_dedup.likely_members(apart, rules).collect()) == [400, 401]
+
+
+def test_hot_classes_are_joined_apart(spark):
+    rows = [(i, 1, 1, 3) for i in range(3000)] + [(i, i, 2, 3) for i in range(5000, 5200)] + [(9999, 0, 0, 0), (None, 1, 1, 3)]
+    sigs = spark.createDataFrame(rows, "doc_id bigint, set_a bigint, set_b bigint, n_shingles bigint")
+    classes = sigs.filter("doc_id is not null and n_shingles > 0").groupBy(*near_dedup.CLASS).agg(
+        F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    for most in (1, 10_000):
+        out = near_dedup.with_class(sigs, classes, "rep", most).collect()
+        assert {(r.doc_id, r.rep) for r in out} == {(d, {1: 0, 2: d, 0: None}[b]) for d, a, b, n in rows}
+        assert len(out) == len(rows)
+
+
 def test_signature_agreement_follows_similarity():
     sketch = near_dedup.SuperMinHash(252)
     draw = np.random.default_rng(1)
