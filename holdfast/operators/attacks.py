@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from holdfast.functions import fixed_values as fx
@@ -286,12 +286,13 @@ def collapse_table(events: DataFrame) -> DataFrame:
         F.count("collapse_turn").alias("collapsed_records"),
         F.avg("collapse_turn").alias("mean_collapse_turn"),
     )
-    totals = table.groupBy(*wide).agg(F.sum("records").alias("_all"))
-    return (
-        table.join(totals, wide)
-        .withColumn("collapse_rate", rate("collapsed_records", "records"))
-        .withColumn("collapse_share", rate("collapsed_records", "_all"))
-        .drop("_all")
+    # A few rows per cell, one for each mode: the window sees the finished table only.
+    everything = F.sum("records").over(Window.partitionBy(*wide))
+    return table.withColumns(
+        {
+            "collapse_rate": rate("collapsed_records", "records"),
+            "collapse_share": rate("collapsed_records", everything),
+        }
     )
 
 

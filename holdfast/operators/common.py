@@ -103,6 +103,27 @@ def running_count(
     )
 
 
+def positions(df: DataFrame, keys: Sequence[str], block: str, order: Sequence[str], name: str) -> DataFrame:
+    """0-based gapless place of every row of a key, ordered by ``block`` and then ``order``.
+
+    Rows are ranked inside one (key, block) only and block totals give each block its
+    first place, so a key's rows never meet in one task.
+    """
+    totals = df.groupBy(*keys, block).agg(F.count(F.lit(1)).alias("_rows"))
+    before = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate([*keys, block])],
+        F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"),
+    )
+    inside = Window.partitionBy(*keys, block).orderBy(*order)
+    ranked = df.withColumn("_at", F.row_number().over(inside) - 1)
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate([*keys, block])]
+    return (
+        ranked.join(starts, same).withColumn(name, F.col("_start") + F.col("_at"))
+        .drop("_at", "_start", *[f"_k{i}" for i in range(len(same))])
+    )
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Every double rounded, for display and comparison only."""
     return df.select(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from holdfast.functions import fixed_values as fx
 from holdfast.functions import labels as lb
 from holdfast.functions import text as tx
-from holdfast.operators.common import RECORD_KEY
+from holdfast.operators.common import RECORD_KEY, positions
 from holdfast.operators.records import latest_per_key
 
 SLOT_KEY = [*RECORD_KEY, "turn", "score_index", "rule_id"]
@@ -85,13 +85,13 @@ def item_payload() -> Column:
 
 
 def batch_requests(queue: DataFrame, batch: int = 32, keys: Sequence[str] = RECORD_KEY) -> DataFrame:
-    """One request per record and batch of slots, items as a JSON array.
+    """One request per record and ``batch`` slots in their order, items as a JSON array.
 
-    A record with many open slots is split, so no request grows without bound.
+    Slots are numbered by (turn, score index, rule) within the record, so a record with
+    many open slots gives many full requests and none grows without bound.
     """
-    part = F.pmod(F.xxhash64("item_id"), F.greatest(F.ceil(F.col("_open") / batch), F.lit(1)))
-    open_slots = queue.groupBy(*keys).agg(F.count(F.lit(1)).alias("_open"))
-    rows = queue.join(open_slots, list(keys)).withColumn("request_part", part)
+    rows = positions(queue, keys, "turn", ["score_index", "rule_id"], "_place").withColumn(
+        "request_part", F.floor(F.col("_place") / batch))
     return rows.groupBy(*keys, "request_part").agg(
         F.count(F.lit(1)).alias("items"),
         F.concat(

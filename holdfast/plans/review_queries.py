@@ -475,14 +475,47 @@ def judge_prompts(spark, sf):
 
 @query(
     "judge_batch_requests",
-    f"""WITH {tb.CELLS_SQL}, {QUEUE_SQL} SELECT case_id, count(*) AS items FROM queue GROUP BY 1""",
+    f"""WITH {tb.RESPONSES_SQL}, q AS (SELECT r.*, i AS score_index, 'R0' || (i + 1) AS rule_id,
+        ['language','format','format','behavior','behavior','persona','persona'][i + 1] AS rule_type
+      FROM responses r, range(7) s(i) WHERE ((i - case_id % 7) + 7) % 7 < rule_count),
+    n AS (SELECT q.*, u.text AS asked,
+        row_number() OVER (PARTITION BY case_id, rep, model, temperature ORDER BY q.turn, score_index, rule_id) - 1 AS p
+      FROM q LEFT JOIN conversations u ON u.conv_id = case_id AND u.turn = q.turn - 1 AND u.role = 'user')
+    SELECT case_id, rep, temperature, CAST(p // 4 AS BIGINT) AS request_part, CAST(p % 4 AS INTEGER) AS place,
+      CAST(count(*) OVER (PARTITION BY case_id, rep, model, temperature, p // 4) AS BIGINT) AS items,
+      't' || turn || '_s' || score_index || '_' || rule_id AS item_id,
+      CASE rule_type WHEN 'language' THEN 'language' ELSE 'behavioral' END AS kind, turn, rule_id,
+      'Rule ' || rule_id || ' about ' || rule_type || '.' AS rule_text, md5(asked) AS user_message_md5,
+      md5(response) AS response_md5 FROM n""",
 )
 def judge_batch_requests(spark, sf):
-    queue = jd.judge_queue(tb.score_cells(spark, sf), _rule_table(spark)).withColumns(
-        {"user_message": F.lit("u"), "response": F.lit("r")}
+    """Every item of every request, read back from the request's own JSON."""
+    active = F.filter(
+        F.array(*[F.struct(F.lit(i).alias("score_index"), F.lit(r).alias("rule_id"), F.lit(t).alias("rule_type"),
+                           tb.rule_is_active(i).alias("active")) for i, (r, t) in enumerate(tb.RULE_TYPES.items())]),
+        lambda x: x["active"],
+    )
+    turns = tb.table(spark, sf, "conversations").select(
+        F.col("conv_id").alias("case_id"), "turn", "role", F.col("text").alias("content")
+    )
+    rows = jd.with_user_message(tb.responses(spark, sf), turns)
+    cells = rows.select("*", F.inline(active)).withColumns(
+        {
+            "method": F.when(F.col("rule_type") == "language", F.lit("llm_language_judge")).otherwise(F.lit("llm_judge")),
+            "pass": F.lit(None).cast("boolean"),
+            "detail": F.lit("pending: rule"),
+        }
+    )
+    requests = jd.batch_requests(jd.judge_queue(cells, _rule_table(spark)), 4)
+    item = "item_id string, kind string, turn bigint, rule_id string, rule_text string, user_message string, assistant_response string"
+    read = requests.select(
+        "case_id", "rep", "temperature", "request_part", "items", F.posexplode(F.from_json("items_json", f"array<struct<{item}>>"))
+    )
+    return read.select(
+        "case_id", "rep", "temperature", "request_part", F.col("pos").alias("place"), "items", "col.item_id", "col.kind", "col.turn",
+        "col.rule_id", "col.rule_text", F.md5("col.user_message").alias("user_message_md5"),
+        F.md5("col.assistant_response").alias("response_md5"),
     )
-    requests = jd.batch_requests(queue, 4)
-    return requests.groupBy("case_id").agg(F.sum("items").alias("items"))
 
 
 VERDICT_SQL = f"""

@@ -1,7 +1,10 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from holdfast.functions import verdicts as vd
+from holdfast.operators import judging as jd
 
 RULE = [
     ('{"pass": true, "reason": "ok"}', True, "ok"),
@@ -61,3 +64,23 @@ def test_column_verdict_recomputes_the_flag(spark):
 def test_notes(spark):
     note = vd.append_note(F.lit(" old "), vd.suggestion_note(F.array().cast("array<string>"), F.lit("why")))
     assert spark.range(1).select(note.alias("n")).collect()[0].n == "old | SUGGESTED failed_rules=none; reason=why"
+
+
+def test_requests_are_full_and_in_order(spark):
+    """A record with many open slots, a null key and an empty queue."""
+    rows = [("a", 0, None, t, s, f"R{r}", "behavioral", f"rule {r}", None if t == 1 else 'say "x"\n', f"reply {t}")
+            for t in range(1, 9) for s in (0, 1) for r in (1, 2, 3)] + [("b", 0, 0.5, 2, 0, "R1", "language", None, "u", "")]
+    names = "case_id rep temperature turn score_index rule_id kind rule_text user_message response".split()
+    schema = ("case_id string, rep int, temperature double, turn int, score_index int, rule_id string, kind string, "
+              "rule_text string, user_message string, response string")
+    queue = spark.createDataFrame(rows, schema).withColumn("item_id", jd.item_id("turn", "score_index", "rule_id"))
+    keys = ["case_id", "rep", "temperature"]
+    got = {(r.case_id, r.request_part): r for r in jd.batch_requests(queue, 10, keys).collect()}
+    assert {k: r["items"] for k, r in got.items()} == {
+        ("a", 0): 10, ("a", 1): 10, ("a", 2): 10, ("a", 3): 10, ("a", 4): 8, ("b", 0): 1}
+    sent = [x for part in range(5) for x in json.loads(got["a", part].items_json)]
+    want = [dict(zip(names, r, strict=True)) for r in rows if r[0] == "a"]
+    assert [x["item_id"] for x in sent] == [f"t{w['turn']}_s{w['score_index']}_{w['rule_id']}" for w in want]
+    assert [(x.get("user_message"), x["assistant_response"], x["rule_text"]) for x in sent] == [
+        (w["user_message"], w["response"], w["rule_text"]) for w in want]
+    assert jd.batch_requests(queue.filter("false"), 10, keys).collect() == []
