@@ -214,3 +214,16 @@ def test_shards_of_odd_tables(table, odd_rows, clashing):
     assert {r.shard for r in kd_shards.assign(table([(1, "a"), (2, "b")]), 16).collect()} <= set(range(16))
     whole = kd_shards.assign(table(odd_rows), target_bytes=50_000)
     assert whole.agg({"shard": "max"}).first()[0] >= 2
+
+
+@pytest.mark.parametrize("which,shards", [("given", 16), ("given", 7), ("odd", 16), ("odd", 5), ("copies", 6)])
+def test_shards_equal_a_plain_tree(which, shards, given, odd_rows, table):
+    """Axis, weighted median and leaf of every row against plain recursion over sorted lists."""
+    copies = [(9000, "same text", "en", "hot")] * 40 + [(i, "same text", "en", "hot") for i in range(200)] + [(None, None)] * 9
+    df = given if which == "given" else table(odd_rows if which == "odd" else copies)
+    rows = [r.asDict() for r in kd_shards._metadata(df).collect()]
+    spans = {d: (min(r[d] for r in rows), max(r[d] for r in rows)) for d in kd_shards.DIMENSIONS}
+    plain = brute.kd_shards(rows, spans, shards)
+    want = Counter((r["doc_id"], r["size"], r["text_crc32"], plain[r["_row"]]) for r in rows)
+    out = kd_shards.assign(df, shards).collect()
+    assert Counter((r.doc_id, r["size"], r.text_crc32, r.shard) for r in out) == want

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 from html.parser import HTMLParser
 
+import llm_brute as brute
 import numpy as np
 import pytest
 
@@ -279,3 +280,26 @@ def test_repeated_pages_and_clashing_columns(table, clashing):
     df = clashing(table(rows, "page_id bigint, url string, html string")).selectExpr("*", "'x' AS host", "'x' AS paths", "'x' AS path")
     out = [tuple(r) for r in html_text.main_texts(df).select("page_id", "text", "n_chars").collect()]
     assert sorted(out, key=str) == sorted([(1, STORY_TEXT, len(STORY_TEXT))] * 3 + [(None, "", 0)], key=str)
+
+
+def test_languages_equal_plain_centroids(given, table):
+    """Every prediction against plain TF-IDF vectors and spherical means in Python's own numbers."""
+    odd = [(10_001, "12 34", "en"), (10_002, "Straße ÄÖÜ straße", "de"), (10_003, "漢字 漢字", None),
+           (10_004, "zz " * 3000, None), (10_005, None, "fr"), (10_006, "", "fr"), (None, "the and of", "en")]
+    rows = [(r.doc_id, r.text, r.lang) for r in given.collect()] + odd
+    learn = [(d, t, x) for d, t, x in rows
+             if d is not None and zlib.crc32(str(d).encode()) % 3 != 1 and t is not None and x is not None]
+    vector, centres, floors = brute.language_model(learn)
+    out = {r.doc_id: r for r in language_id.identify(table(rows)).collect()}
+    assert len(out) == len(rows)
+    for d, t, _ in rows:
+        got = out[d]
+        if t is None or not any(map(str.isalpha, t)):
+            assert (got.lang_pred, got.score) == ("und", 0.0)
+            continue
+        own = vector(t)
+        score = {x: max(brute.cosine(own, c) for y, c in centres if y == x) for x in floors}
+        best = max(score.values())
+        assert got.score == pytest.approx(best, abs=2e-4) and score[got.lang_pred] == pytest.approx(best, abs=2e-4)
+        if abs(best - floors[got.lang_pred]) > 2e-4:
+            assert got.rejected == (best < floors[got.lang_pred])
