@@ -18,7 +18,7 @@ Cases: null or empty html gives an empty text; a null or odd url belongs to no h
 the page's own container is used; unclosed tags, comments, scripts, styles, titles and text areas
 end with the page, of other unclosed hidden tags only the tag is left out;
 ties between paths go to the longer, then the first in order; repeated pages vote each;
-an empty table gives an empty result; extra columns are ignored.
+very long pages are read whole; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -10,7 +10,7 @@ crossing cell of each node comes to the driver.  Equal values of a dimension are
 apart by a hash of the row, so copies, ties and hot sources are split like other rows
 (equal texts may land in different shards).
 
-Cases: null text has 0 bytes and counts 1; null metadata stands below all values;
+Cases: null text has 0 bytes and counts 1; a very long text is one row of its size, so one shard may exceed the mean by it; null metadata stands below all values;
 repeated rows are told apart by a row number; an empty table gives an empty result; more
 shards than rows leaves some shards empty; extra columns are ignored.
 """

@@ -8,7 +8,7 @@ text takes the language of the centroid with the largest cosine; it counts as re
 when that cosine is lower than all but ``reject_share`` of the language's own sample
 had, or when no learned language exists.
 
-Cases: null text and text without a letter give ``und`` with score 0; a null lang or a
+Cases: very long texts are counted whole; null text and text without a letter give ``und`` with score 0; a null lang or a
 null doc_id is not learned from; without any learned language every text is ``und``;
 ties go to the language first in order; an empty table gives an empty result; repeated
 rows are predicted each by itself; extra columns are ignored.
