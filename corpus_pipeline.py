@@ -3,6 +3,12 @@
 Every stage takes all rows that its predecessor kept.  All but the last return the
 columns of ``documents``; the last returns pieces of packed sequences.  SQL cannot
 express the cube draws, so there is no oracle; tests rebuild the rows by brute force.
+
+Cases: null, empty and blank texts fail the quality rules; very long texts are taken whole
+and packed in several pieces; of equal texts the longest original stays, ties go to the
+smallest doc_id; repeated rows are copies of each other; rows without doc_id pass through
+near-dedup unlinked; rows that share a doc_id are one document there; an empty table gives
+no row at every stage; extra columns are carried along to the packing stage.
 """
 
 from __future__ import annotations
