@@ -50,6 +50,15 @@ def one_row(df: DataFrame) -> DataFrame:
     return df.sparkSession.range(1).select()
 
 
+def spread(df: DataFrame, *keys: str, parts: int = 64) -> DataFrame:
+    """Rows that grow to many each, dealt by key over ``parts`` tasks.
+
+    A small table is read by one task, and all rows made of it would stay there.  The
+    number is given, since adaptive execution merges partitions by their few bytes.
+    """
+    return df.repartition(parts, *keys)
+
+
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The first row of every key.  The ``= 1`` filter lets Spark cut each map task
     to one row per key before the shuffle, so a hot key costs no more than others."""

@@ -167,7 +167,8 @@ def balanced_case_matrix(spark, sf):
 def balanced_conversation_turns(spark, sf):
     lookup = ds.prompt_lookup(attack_prompts(spark, sf))
     cases = ds.with_balanced_conversation(_balanced(spark, sf), lookup, POOL)
-    turns = cases.select("case_id", F.inline("conversation_template"))
+    # The outer form spares the filter on its input, which would build every conversation twice.
+    turns = cases.select("case_id", F.inline_outer("conversation_template"))
     return turns.select(
         "case_id", "turn", "attack_mode", "content", F.array_join("attack_targets", ",").alias("attack_targets"), "prompt_id"
     )
