@@ -347,7 +347,9 @@ TRACE_SQL = {
 
 
 def _complete(spark, sf):
-    return ds.complete_cases(_full_sampled(spark, sf), RULE_TABLE, PROMPT_HEAD, PROMPT_TAIL, DESIGN, "order_balanced")
+    sets = ds.with_rule_texts(_sampled(spark, sf), RULE_TABLE, PROMPT_HEAD, PROMPT_TAIL)
+    cases = ds.with_sampled_conversation(ds.sampled_cases(sets, single_turn="both"), _mode_lookup(spark, sf), POOL)
+    return ds.complete_cases(cases, RULE_TABLE, PROMPT_HEAD, PROMPT_TAIL, DESIGN, "order_balanced")
 
 
 @query(
