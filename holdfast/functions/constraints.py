@@ -108,9 +108,15 @@ def letter_frequency(r: Column, kw: Column) -> Column:
 
 def valid_json(r: Column, kw: Column) -> Column:
     # Duplicate keys of one object count as invalid, as NaN does: the parser refuses both.
-    return tx.bind(
-        tx.strip(r), lambda s: F.when(s.rlike(tx.MAY_BE_JSON), F.try_parse_json(s).isNotNull()).otherwise(F.lit(False))
-    )
+    # It also stops at the end of the first value, so the text is read inside an object and inside
+    # an array: what follows a value must then be "}" or "," there, "]" or "," here, and a comma
+    # makes a second element.
+    def whole(s: Column) -> Column:
+        inside = F.try_parse_json(F.concat(F.lit('{"v":'), s, F.lit("}"))).isNotNull()
+        alone = F.json_array_length(F.concat(F.lit("["), s, F.lit("]"))) == 1
+        return F.when(s.rlike(tx.MAY_BE_JSON), inside & F.coalesce(alone, F.lit(False))).otherwise(F.lit(False))
+
+    return tx.bind(tx.strip(r), whole)
 
 
 def markdown_title(r: Column, kw: Column) -> Column:

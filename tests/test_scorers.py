@@ -126,6 +126,17 @@ def test_constraint_checks(spark, name, text, params, want):
     assert one(spark, cn.response_score(F.lit(text), constraint)) == int(want)
 
 
+@pytest.mark.parametrize("text,want", [
+    ("12", 1), ("-1.5e3", 1), ('"a"', 1), ("null", 1), ("true", 1), ("[]", 1), ('{"a": {"b": [1, {}]}}', 1), ("[1]\n", 1),
+    ("12 and more", 0), ('"a" b "c"', 0), ("null,", 0), ("{} {}", 0), ("[1] [2]", 0), ('{"a": 1} x', 0), ("1, 2", 0), ("1] [2", 0),
+    ('1, "b": 2', 0), ("1} {", 0), ("1}", 0), ("1]", 0), ('1, "b": 2}', 0), ("1, 2]", 0), ("[1", 0), ("", 0), (" ", 0), ("1,", 0),
+    ("truex", 0), ('{"a": 1, "a": 2}', 0),
+])
+def test_json_is_one_value_and_nothing_else(spark, text, want):
+    constraint = F.array(F.struct(F.lit("detectable_format:json_format").alias("type"), cn.kwargs_literal().alias("kwargs")))
+    assert one(spark, cn.response_score(F.lit(text), constraint)) == want
+
+
 def test_response_score_rules(spark):
     def listed(*names):
         return F.array(*[F.struct(F.lit(n).alias("type"), cn.kwargs_literal(num_words=2).alias("kwargs")) for n in names])
