@@ -4,8 +4,9 @@ All native column functions.  A language reference holds two histograms of the
 language's documents: character classes, and its most frequent words, the first ones
 each for itself and the others in bands of ranks.  A document is compared with every
 reference by Jensen-Shannon distance (0 to 1) and judged by its closest one, so a wrong or
-missing label costs nothing; a label without a reference leaves the base rules only.  The word limit of a language and length class comes from the
-distances of its own sample.  Distances of short texts are noise: below the minimum
+missing label costs nothing; a label without a reference leaves the base rules only.  References are
+fitted on every labelled row, and the word limit of a language and length class comes from the
+distances of all its own rows.  Distances of short texts are noise: below the minimum
 lengths they are null and reject nothing.
 
 Cases: null text has no words; very long texts are taken whole; equal counts of words are ranked by the word; empty tables give empty results; null doc_ids pass
@@ -18,7 +19,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from holdfast.functions.text import bind
@@ -33,6 +34,7 @@ WINDOW = 8
 LETTER_RUN = "[\\p{L}\\p{M} \\x09-\\x0D]+"
 CONTROL = "[\\p{C}\\x{FFFD}]"
 PUNCTUATION = "[\\p{P}\\p{S}&&[^\\x{FFFD}]]"
+DISTANCE_STEP = 1e-5
 CLASSES = ("upper", "lower", "digit", "symbol", "blank", "punctuation", "control", "other")
 
 
@@ -42,20 +44,17 @@ class QualityRules:
 
     The class default leaves ordinary prose and tables alone (below 0.17 on the test
     tables) and rejects texts strewn with symbols (0.3 and more).  The word limit is the
-    median distance of the sample plus ``word_fence`` times the way from its 5 % quantile
-    to the median: the upper tail of a sample holds its junk and says nothing about good
+    median distance of the language's rows plus ``word_fence`` times the way from its 5 % quantile
+    to the median: the upper tail holds the junk and says nothing about good
     texts.  It stays below ``max_word_distance`` and below the distance of a text without
     any common word.
 
-    ``sample_per_language`` bounds the labelled rows a reference is fitted on (a row is
-    taken by the hash of its id, so the bound holds in expectation).  Every language with
-    ``min_language_rows`` labelled rows gets a reference; documents of a rarer labelled
+    Every language with ``min_language_rows`` labelled rows gets a reference; documents of a rarer labelled
     language are judged by the base rules only.
     """
 
     min_words: int = 20
     max_repeat_percent: int = 30
-    sample_per_language: int = 2000
     min_language_rows: int = 20
     common_words: int = 256
     single_words: int = 8
@@ -188,29 +187,24 @@ def _class_counts() -> list[Column]:
 
 
 def references(docs: DataFrame, rules: QualityRules = QualityRules()) -> list[Reference]:
-    """Histograms of each language, fitted on a bounded sample of labelled rows."""
+    """Histograms of each language, fitted on all its labelled rows."""
     return fitted(docs, rules)[0]
 
 
 def fitted(docs: DataFrame, rules: QualityRules = QualityRules()) -> tuple[list[Reference], DataFrame | None]:
-    """The references and the sample (lang, text) that they are fitted on.
+    """The references and the rows (lang, text) that they are fitted on, all of them labelled.
 
     Only sums per language and the most frequent words come to the driver.
     """
     labelled = docs.filter("doc_id is not null and lang is not null and text is not null")
     counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    kept = counts.filter(F.col("n") >= rules.min_language_rows).collect()
+    kept = [r["lang"] for r in counts.filter(F.col("n") >= rules.min_language_rows).collect()]
     if not kept:
         return [], None
-    draw = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1 << 20))
-    limit = F.lit(0)
-    for row in kept:
-        share = min(1 << 20, (rules.sample_per_language << 20) // row["n"] + 1)
-        limit = F.when(F.col("lang") == row["lang"], F.lit(share)).otherwise(limit)
-    sample = labelled.filter(draw < limit).select("lang", "text")
+    labelled = labelled.filter(F.col("lang").isin(kept)).select("lang", "text")
     text = F.col("text")
     sums = (
-        sample.select(
+        labelled.select(
             "lang", F.regexp_count(text, F.lit(SYMBOLS)).alias("n_symbols"), *_class_parts(text),
             F.length(text).alias("n_chars"),
             F.length(sh.without_blanks(text)).alias("word_chars"),
@@ -218,7 +212,7 @@ def fitted(docs: DataFrame, rules: QualityRules = QualityRules()) -> tuple[list[
         .select("lang", *[c.cast("long").alias(n) for n, c in zip(CLASSES, _class_counts(), strict=True)])
         .groupBy("lang").agg(*[F.sum(n).alias(n) for n in CLASSES]).collect()
     )
-    counted = sample.select("lang", F.explode(sh.words(text)).alias("word")).groupBy("lang", "word").count()
+    counted = labelled.select("lang", F.explode(sh.words(text)).alias("word")).groupBy("lang", "word").count()
     totals = {r["lang"]: r["n"] for r in counted.groupBy("lang").agg(F.sum("count").alias("n")).collect()}
     top = first_n_per_key(counted, ["lang"], [F.desc("count"), F.col("word")], rules.common_words)
     top = top.withColumn("hash", F.xxhash64("word")).collect()
@@ -233,7 +227,7 @@ def fitted(docs: DataFrame, rules: QualityRules = QualityRules()) -> tuple[list[
                 row["lang"], tuple(row[n] / chars for n in CLASSES),
                 tuple(tuple(r["hash"] for r in cell) for cell in cells), (*shares, max(0.0, 1 - sum(shares))),
             ))
-    return out, sample
+    return out, labelled
 
 
 def js_distance(shares: Column, reference: tuple[float, ...]) -> Column:
@@ -273,25 +267,48 @@ def without_common_words(ref: Reference) -> float:
     return math.sqrt(max(0.0, total / 2))
 
 
-def word_limits(sample: DataFrame, refs: list[Reference], rules: QualityRules = QualityRules()) -> list[list[float]]:
+def word_limits(labelled: DataFrame, refs: list[Reference], rules: QualityRules = QualityRules()) -> list[list[float]]:
     """Largest accepted word distance of every reference, by length class.
 
     A class with too few rows takes the limit of the next shorter one, which is never
-    the stricter one, since distances shrink with length.
+    the stricter one, since distances shrink with length.  Quantiles are of all rows, out of
+    counts by cells of ``DISTANCE_STEP``, so that no task holds the distances of a language:
+    each is the smallest distance of the cell that its rank falls into.
     """
 
+    lang = F.col("lang")
+
     def counts(w: Column) -> Column:
         hashes = F.transform(w, lambda x: F.xxhash64(x))
-        return bind(hashes, lambda h: F.struct(F.size(w).cast("long").alias("n_words"), _common(h, refs).alias("common")))
+        return bind(hashes, lambda h: F.struct(F.size(w).cast("long").alias("n_words"), own_common(h).alias("common")))
+
+    def own_common(h: Column) -> Column:
+        out = F.array().cast("array<int>")
+        for r in refs:
+            out = F.when(lang == r.language, _common(h, [r])).otherwise(out)
+        return out
 
     own = F.lit(None).cast("double")
-    for r, d in zip(refs, word_distances(refs), strict=True):
-        own = F.when(F.col("lang") == r.language, d).otherwise(own)
-    rows = sample.select("lang", F.inline(F.array(bind(sh.words(F.col("text")), counts))))
+    for r in refs:
+        own = F.when(lang == r.language, word_distances([r])[0]).otherwise(own)
+    rows = labelled.select("lang", F.inline(F.array(bind(sh.words(F.col("text")), counts))))
+    cells = (
+        rows.filter(F.col("n_words") >= rules.min_words_for_common)
+        .select("lang", _length_class(rules).alias("length"), own.alias("d")).filter("d is not null")
+        .groupBy("lang", "length", F.floor(F.col("d") / DISTANCE_STEP).alias("cell"))
+        .agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("d"))
+    )
+    whole = Window.partitionBy("lang", "length")
+    ranked = cells.withColumns(
+        {"upto": F.sum("n").over(whole.orderBy("cell")), "total": F.sum("n").over(whole)}
+    )
+
+    def quantile(share: float) -> Column:
+        return F.min(F.when(F.col("upto") > (F.col("total") - 1) * share, F.col("d")))
+
     found = {
-        (r["lang"], r["length"]): r for r in rows.filter(F.col("n_words") >= rules.min_words_for_common)
-        .select("lang", _length_class(rules).alias("length"), own.alias("d")).groupBy("lang", "length")
-        .agg(F.count("d").alias("n"), F.percentile("d", F.array(F.lit(0.05), F.lit(0.5))).alias("q")).collect()
+        (r["lang"], r["length"]): r for r in ranked.groupBy("lang", "length")
+        .agg(F.max("total").alias("n"), F.array(quantile(0.05), quantile(0.5)).alias("q")).collect()
     }
     out = []
     for r in refs:
@@ -301,7 +318,7 @@ def word_limits(sample: DataFrame, refs: list[Reference], rules: QualityRules =
             seen = found.get((r.language, k))
             if seen and seen["n"] >= rules.min_rows_for_limit:
                 low, middle = seen["q"]
-                # A sample of equal texts has no spread; half the median is left open then.
+                # A language of equal texts has no spread; half the median is left open then.
                 limit = min(cap, middle + max(rules.word_fence * (middle - low), middle / 2))
             limits.append(limit)
         out.append(limits)
@@ -325,7 +342,7 @@ def measured(docs: DataFrame, refs: list[Reference]) -> DataFrame:
 
 def judge_rows(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
     """Counts, distances, ``base_failed`` and ``kept`` beside the documents as struct ``_d``."""
-    refs, sample = fitted(docs, rules)
+    refs, labelled = fitted(docs, rules)
     rows = measured(docs, refs)
     chars = F.greatest(F.col("n_chars"), F.lit(1))
     class_d, word_d, strange = F.lit(None).cast("double"), F.lit(None).cast("double"), F.lit(False)
@@ -338,7 +355,7 @@ def judge_rows(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFra
         word_d = F.array_min("_word_ds")
         # By length class, the limits in the order of the references.
         limits = F.array(*[F.array(*[F.lit(x) for x in own])
-                           for own in zip(*word_limits(sample, refs, rules), strict=True)])
+                           for own in zip(*word_limits(labelled, refs, rules), strict=True)])
         over = F.zip_with("_word_ds", F.get(limits, _length_class(rules)), lambda d, limit: d > limit)
         strange = F.coalesce(F.forall(over, lambda x: x), F.lit(False))
     n_words = F.col("n_words")

@@ -288,3 +288,21 @@ def test_survivors_of_a_hot_text(table):
     rows += [(77, "same  text")] * 3
     kept = exact_dedup.keep_first(table(rows)).collect()
     assert sorted(r.doc_id for r in kept) == [77, *range(900, 920)]
+
+
+def test_quality_is_fitted_on_every_labelled_row(spark):
+    n = 9000
+    docs = spark.range(n).selectExpr(
+        "id AS doc_id", "concat_ws(' ', repeat('the ', cast(1 + pow(id % 89, 2) % 40 AS int)), repeat('of ', 40), concat('w', id)) AS text",
+        "'en' AS lang", "'s' AS source", "1L AS n_chars",
+    )
+    rules = quality.QualityRules(min_words_for_common=1, length_classes=1, common_words=2, max_repeat_percent=100)
+    the = [1 + (i % 89) ** 2 % 40 for i in range(n)]
+    refs, rows = quality.fitted(docs, rules)
+    assert rows.count() == n
+    assert refs[0].shares[:2] == pytest.approx(tuple(x / (sum(the) + 41 * n) for x in (40 * n, sum(the))), abs=1e-12)
+    distances = sorted(r["_word_ds"][0] for r in quality.judge_rows(docs, rules).select("_word_ds").collect())
+    low, middle = distances[int(0.05 * (n - 1))], distances[int(0.5 * (n - 1))]
+    cap = min(rules.max_word_distance, 0.95 * quality.without_common_words(refs[0]))
+    want = min(cap, middle + max(rules.word_fence * (middle - low), middle / 2))
+    assert quality.word_limits(rows, refs, rules)[0][0] == pytest.approx(want, abs=1e-4)
