@@ -105,11 +105,16 @@ def prefix(r: Column, rule: Mapping[str, Column]) -> Column:
 _SENTENCE_END = rf"(?:[.!?]?[{fx.SPACE}]*\z|[{fx.SPACE}])"
 
 
-def honorific(r: Column, rule: Mapping[str, Column]) -> Column:
-    counts = F.struct(
+def ending_counts(r: Column) -> Column:
+    """Formal and informal sentence endings; two slow searches, to be made once for several rules."""
+    return F.struct(
         tx.matches(r, f"(?:{fx.HONORIFIC_ENDINGS}){_SENTENCE_END}").alias("formal"),
         tx.matches(r, f"(?:{fx.INFORMAL_ENDINGS}){_SENTENCE_END}").alias("informal"),
     )
+
+
+def honorific(r: Column, rule: Mapping[str, Column], counts: Column | None = None) -> Column:
+    counts = ending_counts(r) if counts is None else counts
     expect = F.coalesce(rule["expect_honorific"], F.lit(True))
 
     def judge(c: Column) -> Column:

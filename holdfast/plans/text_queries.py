@@ -719,9 +719,10 @@ END_SQL = rf"(?:[.!?]?[{S}]*\z|[{S}])"
       coalesce(informal / nullif(formal + informal, 0) >= 0.7, TRUE) AS informal FROM c""",
 )
 def korean_text_checks(spark, sf):
-    formal = rl.honorific(F.col("r"), rl.rule_literal({"expect_honorific": True}))["pass"]
-    informal = rl.honorific(F.col("r"), rl.rule_literal({"expect_honorific": False}))["pass"]
-    return korean_documents(spark, sf).select(
+    counts = F.col("endings")
+    formal = rl.honorific(F.col("r"), rl.rule_literal({"expect_honorific": True}), counts)["pass"]
+    informal = rl.honorific(F.col("r"), rl.rule_literal({"expect_honorific": False}), counts)["pass"]
+    return korean_documents(spark, sf).withColumn("endings", rl.ending_counts(F.col("r"))).select(
         "doc_id", tx.korean_main("r").alias("korean_main"), rl.detected_language(F.col("r")).alias("language"),
         formal.alias("honorific"), informal.alias("informal"),
     )

@@ -239,3 +239,10 @@ def test_honorific_share_rounds_half_to_even(spark):
     rule = {"expect_honorific": F.lit(True)}
     text = "합니다 " + "한다 " * 7
     assert one(spark, rl.honorific(F.lit(text), rule)["detail"]).endswith("1/8 (12%)")
+
+
+def test_korean_checks_count_each_ending_once(spark):
+    from holdfast.plans import catalog
+
+    plan = catalog.QUERIES["korean_text_checks"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("드리겠습니다") == 1
