@@ -3,9 +3,11 @@
 import hashlib
 import math
 import random
+from collections import Counter
 
 import llm_brute as brute
 import pytest
+from pyspark.sql import functions as F
 
 from holdfast.llm import exact_dedup, quality, secret_scan
 
@@ -306,3 +308,47 @@ def test_quality_is_fitted_on_every_labelled_row(spark):
     cap = min(rules.max_word_distance, 0.95 * quality.without_common_words(refs[0]))
     want = min(cap, middle + max(rules.word_fence * (middle - low), middle / 2))
     assert quality.word_limits(rows, refs, rules)[0][0] == pytest.approx(want, abs=1e-4)
+
+
+def test_quality_measures_a_text_once_and_splits_it_twice(given, monkeypatch):
+    uses = {"words": 0, "marks": 0}
+    words, parts = quality.sh.words, quality._class_parts
+
+    def counted(name, function):
+        def call(text):
+            uses[name] += 1
+            return function(text)
+        return call
+
+    monkeypatch.setattr(quality.sh, "words", counted("words", words))
+    monkeypatch.setattr(quality, "_class_parts", counted("marks", parts))
+    rows = quality.judge_rows(given)
+    assert uses == {"words": 2, "marks": 1}  # word counts for the references, then the only measurement
+    assert "Generate" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_quality_counts_words_in_one_shuffle(given):
+    _, labelled = quality.word_references(given)
+    found = quality.frequent_words(labelled)
+    rows = found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "ReusedExchange" in plan
+    totals = {r["lang"]: r["count"] for r in rows if r["_rank"] is None}
+    want = Counter()
+    for r in labelled.collect():
+        want[r.lang] += len(brute.WORD.findall(r.text))
+    assert totals == dict(want)
+    assert max(r["_rank"] for r in rows if r["_rank"]) <= quality.QualityRules().common_words
+
+
+def test_written_rows_give_the_references_of_the_texts(given, table):
+    rows = given.unionByName(table([(None, "% & # " * 90, "en", None), (-5, None, "en", None), (-6, "% " * 90, None, None)]))
+    refs, labelled = quality.fitted(rows)
+    words, _ = quality.word_references(rows)
+    measured = quality.measured(rows, words, ["doc_id", "lang"])
+    assert measured.select("_d.*").columns == ["doc_id", "lang"]
+    counts = measured.filter("_labelled").withColumn("lang", F.col("_d.lang"))
+    assert quality.with_classes(words, counts) == refs
+    rules = quality.QualityRules(min_words_for_common=1)
+    counts = counts.select("lang", "n_words", quality._long_distances(refs, rules).alias("_word_ds"))
+    assert quality.distance_limits(counts, refs, rules) == quality.word_limits(labelled, refs, rules)
